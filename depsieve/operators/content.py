@@ -37,7 +37,8 @@ _LINE_START = rf"(?<![^{LINE_END}])"
 class Rule:
     """One content rule: report ``group`` of every match of ``regex`` (Java syntax).
 
-    ``needs`` is a plain substring of every match; texts without it skip the regex.
+    ``needs`` is a plain substring of every match and ``needs_regex`` a cheap pattern
+    found in every match; texts without them skip the regex.
     ``literal`` is set when all matches are that same string.
     """
 
@@ -45,6 +46,7 @@ class Rule:
     group: int = 0
     needs: str | None = None
     literal: str | None = None
+    needs_regex: str | None = None
 
 
 def plain_rule(pattern: str) -> Rule:
@@ -56,15 +58,20 @@ def plain_rule(pattern: str) -> Rule:
     return Rule(java_regex(pattern), needs=word.group(1) if word and "|" not in pattern else None)
 
 
+def _up_to(word: str, then: str = "") -> str:
+    """The rest of a line up to the first ``word`` (followed by ``then``), never given back."""
+    return rf"(?:[^{word[0]}{LINE_END}]++|{word[0]}(?!{word[1:]}{then}))*+"
+
+
 def import_rule(pattern: str) -> Rule:
     """``import.*from <tail>``: at most one match per line, from its first ``import``.
 
     The first import of a line either reaches the last matching tail of that line or
-    none of the imports does, so an atomic group fixes it and the line is read once.
+    none of the imports does, so the line is read up to its first import only once.
     """
     tail = java_regex(pattern.removeprefix("import.*"))
-    head = rf"(?>(?:{_LINE_START}|\G)[^{LINE_END}]*?(?=import))"
-    return Rule(rf"{head}(import[^{LINE_END}]*{tail})", group=1, needs="import")
+    head = rf"(?:{_LINE_START}|\G){_up_to('import')}"
+    return Rule(rf"{head}(import[^{LINE_END}]*{tail})", group=1, needs="import", needs_regex=tail)
 
 
 def rules_from(patterns: tuple[str, ...]) -> list[Rule]:
@@ -75,6 +82,10 @@ FILESYSTEM_RULES = rules_from(FILESYSTEM_PATTERNS)
 SHELL_RULES = rules_from(SHELL_PATTERNS)
 
 
+def _any_of(content: Column, words: tuple[str, ...]) -> Column:
+    return F.greatest(*[content.contains(w) for w in words])
+
+
 def _rule_hits(content: Column, rule: Rule, distinct: bool) -> Column:
     """All matches of one rule in text order, optionally without repeats."""
     if rule.literal is not None and distinct:
@@ -82,7 +93,10 @@ def _rule_hits(content: Column, rule: Rule, distinct: bool) -> Column:
     found = F.regexp_extract_all(content, F.lit(rule.regex), F.lit(rule.group))
     if distinct:
         found = F.array_distinct(found)
-    return F.when(content.contains(rule.needs), found) if rule.needs else found
+    if rule.needs is None:
+        return found
+    gate = content.contains(rule.needs)
+    return F.when(gate & content.rlike(rule.needs_regex) if rule.needs_regex else gate, found)
 
 
 def _number(found: Column, rule_ord: int, text=lambda hit: hit) -> Column:
@@ -108,7 +122,18 @@ def rule_hits(content: Column, rules: list[Rule], distinct: bool = False, first_
 def match_patterns(files: DataFrame, rules: list[Rule], hits=None) -> DataFrame:
     """Every match of every rule: (package, version, path, rule_ord, pos, hit)."""
     array = rule_hits(F.col("content"), rules) if hits is None else hits
-    return files.select("package", "version", "path", F.inline(array))
+    return unfold(files.select("package", "version", "path", array.alias("hits")))
+
+
+def unfold(rows: DataFrame) -> DataFrame:
+    """One row per element of ``hits``.
+
+    The array is a projected column (a projection compiles and shares common parts, a
+    generator does not), and the generator is the outer form: for the inner one the
+    optimizer adds a filter on the array, which would work all hits out a second time.
+    """
+    keys = [c for c in rows.columns if c != "hits"]
+    return rows.select(*keys, F.inline_outer("hits")).where(F.col("hit").isNotNull())
 
 
 # --- filesystem ------------------------------------------------------------------
@@ -128,19 +153,17 @@ def filesystem_hits(files: DataFrame) -> DataFrame:
 def shell_call_array(content: Column, distinct: bool = False) -> Column:
     hits = rule_hits(content, SHELL_RULES, distinct)
     cut = F.transform(hits, lambda h: h.withField("hit", utf16_left(h["hit"], SHELL_HIT_UNITS)))
-    gate = content.contains("child_process") | content.contains("exec") | content.contains("spawn")
-    return F.when(gate, cut)
+    return F.when(_any_of(content, ("child_process", "exec", "spawn")), cut)
 
 
 def shell_string_array(content: Column, distinct: bool = False) -> Column:
     """Per line, the text from its first to its last quote if a shell word is in between."""
     # bash, powershell and zsh all contain "sh".
-    words = [w for w in SHELL_WORDS if not any(o != w and o in w for o in SHELL_WORDS)]
-    has_word = lambda text: F.greatest(*[text.contains(w) for w in words])
+    words = tuple(w for w in SHELL_WORDS if not any(o != w and o in w for o in SHELL_WORDS))
     quoted = F.regexp_extract_all(content, F.lit(rf"""['"`][^{LINE_END}]*['"`]"""), F.lit(0))
-    cut = F.transform(F.filter(quoted, has_word), lambda hit: utf16_left(hit, SHELL_HIT_UNITS))
+    cut = F.transform(F.filter(quoted, lambda text: _any_of(text, words)), lambda hit: utf16_left(hit, SHELL_HIT_UNITS))
     found = F.array_distinct(cut) if distinct else cut
-    return F.when(has_word(content), _number(found, len(SHELL_RULES)))
+    return F.when(_any_of(content, words), _number(found, len(SHELL_RULES)))
 
 
 def shell_hits(files: DataFrame) -> DataFrame:
@@ -164,34 +187,28 @@ def _import_presence(pattern: str) -> str:
     """
     tail = java_regex(pattern.removeprefix(r"import\s+.*\s+"))
     begin = (
-        rf"(?>{_LINE_START}[^{LINE_END}]*?import[{SPACE}]+"
+        rf"(?:{_LINE_START}{_up_to('import', f'[{SPACE}]')}import[{SPACE}]++"
         rf"|import[{SPACE}&&[^{LINE_END}]]*+[{LINE_END}][{SPACE}]*+)"
     )
     return rf"{begin}(?:[^{LINE_END}]*(?<![{SPACE}])[{SPACE}]++|(?<=[{SPACE}]{{2}})){tail}"
 
 
-def _network_regex(pattern: str) -> str:
-    return _import_presence(pattern) if pattern.startswith("import") else java_regex(pattern)
+def _network_test(content: Column, pattern: str) -> Column:
+    word = re.search(r"require|import|XMLHttpRequest|WebSocket|fetch", pattern).group()
+    if word != "import":
+        return content.contains(word) & content.rlike(java_regex(pattern))
+    tail = java_regex(pattern.removeprefix(r"import\s+.*\s+"))
+    return content.contains(word) & content.rlike(tail) & content.rlike(_import_presence(pattern))
 
 
-def network_text_array(content: Column) -> Column:
-    """Presence tests in fixed order: regexes, module literals, globals."""
-    tests = []
-    for pattern in NETWORK_PATTERNS:
-        needs = re.search(r"require|import|XMLHttpRequest|WebSocket|fetch", pattern).group()
-        tests.append((content.contains(needs) & content.rlike(_network_regex(pattern)), f"Regex match: {pattern}"))
-    quoted_module = content.rlike(rf"""['"](?:{_MODULES})['"]""")
-    for module in NETWORK_MODULES:
-        uses = [content.contains(f"{head}{q}{module}{q}{end}") for head, end in (("require(", ")"), ("from ", "")) for q in "'\""]
-        tests.append((quoted_module & (uses[0] | uses[1] | uses[2] | uses[3]), f"Module: {module}"))
-    for name in NETWORK_GLOBALS:
-        tests.append((content.contains(name) & content.rlike(java_regex(rf"\b{name}\s*\(")), f"Global: {name}"))
+def _present(tests: list[tuple[Column, str]], first_ord: int) -> Column:
+    """The texts of the tests that hold, as hits in rule order."""
     return F.array_compact(
         F.array(
             *[
                 F.when(
                     test,
-                    F.struct(F.lit(i).alias("rule_ord"), F.lit(0).alias("pos"), F.lit(text).alias("hit")),
+                    F.struct(F.lit(first_ord + i).alias("rule_ord"), F.lit(0).alias("pos"), F.lit(text).alias("hit")),
                 )
                 for i, (test, text) in enumerate(tests)
             ]
@@ -199,6 +216,38 @@ def network_text_array(content: Column) -> Column:
     )
 
 
+def _quotes_module(content: Column) -> Column:
+    return content.rlike(rf"""['"](?:{_MODULES})['"]""")
+
+
+def network_text_array(content: Column) -> Column:
+    """Presence tests in fixed order: regexes, module literals, globals.
+
+    Each group sits behind a test that is cheaper than its members, so a text
+    without any network vocabulary costs a few substring searches.
+    """
+    regexes = [(_network_test(content, pattern), f"Regex match: {pattern}") for pattern in NETWORK_PATTERNS]
+    modules = []
+    for module in NETWORK_MODULES:
+        forms = [f"{head}{q}{module}{q}{end}" for head, end in (("require(", ")"), ("from ", "")) for q in "'\""]
+        modules.append((_any_of(content, tuple(forms)), f"Module: {module}"))
+    names = [
+        (content.contains(name) & content.rlike(java_regex(rf"\b{name}\s*\(")), f"Global: {name}")
+        for name in NETWORK_GLOBALS
+    ]
+    none = F.array().cast(HIT)
+    groups = [
+        (_any_of(content, ("require", "import", *NETWORK_GLOBALS)), regexes),
+        ((content.contains("require(") | content.contains("from ")) & _quotes_module(content), modules),
+        (_any_of(content, NETWORK_GLOBALS), names),
+    ]
+    arrays, first_ord = [], 0
+    for gate, tests in groups:
+        arrays.append(F.coalesce(F.when(gate, _present(tests, first_ord)), none))
+        first_ord += len(tests)
+    return F.concat(*arrays)
+
+
 _TEXT_RULES = len(NETWORK_PATTERNS) + len(NETWORK_MODULES) + len(NETWORK_GLOBALS)
 
 
@@ -225,7 +274,6 @@ _ENDS_IN_IMPORT = _STATEMENT_IMPORT + r"""\s*+['"][^'"]*\z"""
 _REQUIRE = rf"""(?<![.\w$])require\s*\(\s*['"](?:{_MODULES})['"]\s*[,)]"""
 _CALL = rf"(?:\b(?:new|function)\s*\*?\s*+)?(?<![.\w$])(?:{'|'.join(NETWORK_CALLS)})\s*\("
 _NEW = rf"(?<![\w$])new\s+(?:{'|'.join(NETWORK_CONSTRUCTORS)})(?![\w$.])"
-_STRUCTURE_GATE = rf"""['"](?:{_MODULES})['"]|{'|'.join(NETWORK_GLOBALS)}"""
 
 
 def network_structure_array(content: Column) -> Column:
@@ -252,7 +300,8 @@ def network_structure_array(content: Column) -> Column:
             ]
         )
 
-    return F.when(content.rlike(_STRUCTURE_GATE), let(cleaned, signals))
+    uses_module = (content.contains("require") | content.contains("import")) & _quotes_module(content)
+    return F.when(_any_of(content, NETWORK_GLOBALS) | uses_module, let(cleaned, signals))
 
 
 def network_structural_hits(files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from depsieve.functions.entropy import shannon_entropy
 from depsieve.functions.text import round2, utf16_length
-from depsieve.operators.content import ENTROPY, FAMILIES, FILESYSTEM, NETWORK, SHELL, family_array, tagged_hit
+from depsieve.operators.content import ENTROPY, FAMILIES, FILESYSTEM, NETWORK, SHELL, family_array, tagged_hit, unfold
 from depsieve.operators.files import in_walk, source_files
 from depsieve.rules import ENTROPY_MIN_UNITS, ENTROPY_THRESHOLD, SHELL_HITS_KEPT
 from depsieve.schemas import alert_rows, details
@@ -52,11 +52,16 @@ def char_entropy(texts: DataFrame, key: str | list[str], text: str) -> DataFrame
     return texts.select(*keys, shannon_entropy(F.col(text)).alias("entropy"))
 
 
+def _at_least(text: Column, units: int) -> Column:
+    """UTF-16 length of at least ``units``; only texts with fewer code points are counted in full."""
+    return (F.length(text) >= units) | (utf16_length(text) >= units)
+
+
 def obfuscated_files(
     files: DataFrame, threshold: float = ENTROPY_THRESHOLD, min_units: int = ENTROPY_MIN_UNITS
 ) -> DataFrame:
     """Code files of at least ``min_units`` UTF-16 units whose entropy exceeds ``threshold``."""
-    long_enough = source_files(files).where(utf16_length(F.col("content")) >= min_units)
+    long_enough = source_files(files).where(_at_least(F.col("content"), min_units))
     return (
         char_entropy(long_enough, ["package", "version", "path"], "content")
         .where(F.col("entropy") > threshold)
@@ -85,7 +90,7 @@ def file_hits(
     hits = family_array(path, content, families) if set(families) - {ENTROPY} else None
     if ENTROPY in families:
         measured = F.when(
-            in_walk(path, "hidden_pruned") & (utf16_length(content) >= min_units), content
+            in_walk(path, "hidden_pruned") & _at_least(content, min_units), content
         )
         base = base.withColumn("entropy", shannon_entropy(measured))
         flagged = F.array(tagged_hit(ENTROPY, F.lit(0), F.lit(0), path))
@@ -95,7 +100,7 @@ def file_hits(
     else:
         base = base.withColumn("entropy", F.lit(None).cast("double"))
         value = F.col("entropy")
-    return base.select("package", "version", "path", "entropy", F.inline(hits)).select(
+    return unfold(base.select("package", "version", "path", "entropy", hits.alias("hits"))).select(
         "package", "version", "family", "path", "rule_ord", "pos", "hit", value.alias("value")
     )
 

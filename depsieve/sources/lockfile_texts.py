@@ -13,7 +13,7 @@ def read_lockfiles(spark: SparkSession, folder: str) -> DataFrame:
     ``kind_ord`` gives the order in which a project's lockfiles are reported.
     """
     names = ",".join(LOCKFILE_NAMES)
-    raw = spark.read.option("wholetext", "true").text(f"{folder.rstrip('/')}/*/{{{names}}}")
+    raw = spark.read.text(f"{folder.rstrip('/')}/*/{{{names}}}", wholetext=True)
     kinds = F.array(*[F.lit(n) for n in LOCKFILE_NAMES])
     path = below(F.col("_metadata.file_path"), folder)
     return raw.select(path.alias("path"), F.make_valid_utf8("value").alias("content")).select(

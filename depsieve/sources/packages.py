@@ -2,7 +2,7 @@
 
 import io
 import tarfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,20 @@ from depsieve.functions.json import parse_object
 from depsieve.schemas import PACKAGE_FILES
 
 MAX_MEMBER_BYTES = 256 << 20
+_FRAME_CHARS = 8 << 20
+
+
+def _frames(rows: Iterable[dict]) -> Iterator[pd.DataFrame]:
+    """Batch rows into frames of a few million characters."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 100 + len(row["content"] or "")
+        if size >= _FRAME_CHARS:
+            yield pd.DataFrame(held)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held)
 
 
 def _members(name: str, data: bytes, max_bytes: int) -> Iterator[dict]:
@@ -42,10 +56,12 @@ def unpack_archives(archives: DataFrame, max_bytes: int = MAX_MEMBER_BYTES) -> D
     """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["path"], batch["content"]):
-                for row in _members(name, data, max_bytes):
-                    yield pd.DataFrame([row])
+        yield from _frames(
+            row
+            for batch in batches
+            for name, data in zip(batch["path"], batch["content"])
+            for row in _members(name, data, max_bytes)
+        )
 
     rows = archives.select("path", "content").mapInPandas(
         unpack, "archive STRING, path STRING, content STRING, content_error STRING"
@@ -82,24 +98,68 @@ def below(path: Column, folder: str) -> Column:
     return F.substring(plain, F.locate(base, plain) + F.lit(len(base)), F.length(plain))
 
 
-def read_package_tree(spark: SparkSession, folder: str) -> DataFrame:
+def _open(uri: str):
+    """The file system and the path of a folder, for use on driver and executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if ":" in uri.split("/", 1)[0] else f"file://{uri}")
+
+
+def read_package_tree(spark: SparkSession, folder: str, max_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
     """Package files of extracted trees: ``<package>/<version>/<path>``.
 
-    A scoped package takes two folders (``@scope/name``).
+    A scoped package takes two folders (``@scope/name``). Spark's own file sources skip
+    every name that starts with a dot or an underscore, which is where a package may
+    hide code, so tasks list and read the files themselves: the driver sees the names of
+    the top folders only, tasks list one of them each, and the files found are spread
+    evenly over new tasks before they are read.
     """
-    raw = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder)
-    ).select(
-        below(F.col("_metadata.file_path"), folder).alias("file"),
-        F.make_valid_utf8("value").alias("content"),
+    from pyarrow import fs
+
+    system, base = _open(folder)
+    tops = [(info.path,) for info in system.get_file_info(fs.FileSelector(base))]
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, _ = _open(folder)
+        for batch in batches:
+            for top in batch["top"]:
+                found = target.get_file_info(fs.FileSelector(top, recursive=True))
+                regular = [f for f in found if f.type == fs.FileType.File]
+                yield pd.DataFrame({"full": [f.path for f in regular], "size": [f.size for f in regular]})
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, _ = _open(folder)
+
+        def rows():
+            for batch in batches:
+                for full, size in zip(batch["full"], batch["size"]):
+                    row = {"file": full[len(base) :].lstrip("/"), "content": None, "content_error": None}
+                    if size > max_bytes:
+                        row["content_error"] = f"larger than {max_bytes} bytes"
+                    else:
+                        try:
+                            with target.open_input_stream(full) as stream:
+                                row["content"] = stream.read().decode("utf-8", "replace")
+                        except OSError as error:
+                            row["content_error"] = f"unreadable: {type(error).__name__}"
+                    yield row
+
+        yield from _frames(rows())
+
+    files = (
+        spark.createDataFrame(tops, "top STRING")
+        .repartition("top")
+        .mapInPandas(listed, "full STRING, size LONG")
+        .repartition("full")
+        .mapInPandas(contents, "file STRING, content STRING, content_error STRING")
     )
     pattern = r"^((?:@[^/]+/)?[^/]+)/([^/]+)/(.+)$"
-    return raw.select(
+    return files.select(
         F.regexp_extract("file", pattern, 1).alias("package"),
         F.regexp_extract("file", pattern, 2).alias("version"),
         F.regexp_extract("file", pattern, 3).alias("path"),
         "content",
-        F.lit(None).cast("string").alias("content_error"),
+        "content_error",
     ).where(F.col("path") != "")
 
 
