@@ -67,7 +67,7 @@ _YARN_BLOCK = {
         rf'^"?([^@"{SPACE}]+)@[^":\n]+"?{_S}*'
         rf'(?:,{_S}*"?[^@"{SPACE}]+@[^":\n]+"?)*+:{_S}*\n' + _REST_OF_BLOCK
     ),
-    "leaf": rf'^"?(@?[^@":,{SPACE}]+)@[^\n]*:{_S}*\n' + _REST_OF_BLOCK,
+    "leaf": rf'^"?(@?[^@",{SPACE}]+)@[^\n]*:{_S}*\n' + _REST_OF_BLOCK,
 }
 
 

@@ -11,7 +11,7 @@ from depsieve.rules import (
 )
 from depsieve.schemas import alert_rows, details
 
-BROADCAST_NAMES = 2000
+BROADCAST_NAMES = 200
 
 
 def fits(df: DataFrame, rows: int) -> bool:
@@ -19,28 +19,28 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def _judged(candidates: DataFrame, max_distance: int, min_similarity: float) -> DataFrame:
-    """The candidate pairs (package, popular, rank) that really are look-alikes."""
-    longest = F.greatest(utf16_length(F.col("package")), utf16_length(F.col("popular")))
-    similarity = 1 - F.col("distance") / longest
-    return (
-        candidates.where(
-            (F.col("package") != F.col("popular"))
-            & (F.abs(F.length("package") - F.length("popular")) <= max_distance)
-        )
-        # The bounded form gives -1 beyond the bound, hence the lower limit.
-        .withColumn("distance", F.levenshtein("package", "popular", max_distance))
-        .where(F.col("distance").between(1, max_distance))
-        .withColumn("similarity", similarity)
-        .where(F.col("similarity") >= min_similarity)
-        .select("package", "popular", "rank", "distance", round2(F.col("similarity")).alias("similarity"))
+def _near(max_distance: int) -> Column:
+    """Lengths first. The bounded distance is -1 beyond the bound and 0 for equal names."""
+    return (F.abs(F.col("package_length") - F.col("popular_length")) <= max_distance) & (
+        F.levenshtein("package", "popular", max_distance) > 0
+    )
+
+
+def _judged(near: DataFrame, max_distance: int, min_similarity: float) -> DataFrame:
+    """Pairs within the distance that are also similar enough for their length."""
+    distance = F.levenshtein("package", "popular", max_distance)
+    similarity = 1 - distance / F.greatest(utf16_length(F.col("package")), utf16_length(F.col("popular")))
+    return near.where(similarity >= min_similarity).select(
+        "package", "popular", "rank", distance.alias("distance"), round2(similarity).alias("similarity")
     )
 
 
 def _sides(names: DataFrame, popular: DataFrame) -> tuple[DataFrame, DataFrame]:
     return (
-        names.select("package").distinct(),
-        popular.select(F.col("package").alias("popular"), "rank"),
+        names.select("package").distinct().withColumn("package_length", F.length("package")),
+        popular.select(
+            F.col("package").alias("popular"), "rank", F.length("package").alias("popular_length")
+        ),
     )
 
 
@@ -59,11 +59,8 @@ def typosquat_pairs(
     if not fits(popular, broadcast_names):
         return typosquat_pairs_blocked(names, popular, max_distance, min_similarity)
     left, right = _sides(names, popular)
-    near = (F.col("package") != F.col("popular")) & F.levenshtein(
-        "package", "popular", max_distance
-    ).between(1, max_distance)
-    size_gap = F.abs(F.length("package") - F.length("popular")) <= max_distance
-    return _judged(left.join(F.broadcast(right), size_gap & near), max_distance, min_similarity)
+    near = left.join(F.broadcast(right), _near(max_distance))
+    return _judged(near, max_distance, min_similarity)
 
 
 def _deletion_keys(name: Column, max_distance: int, min_similarity: float) -> Column:
@@ -102,10 +99,8 @@ def typosquat_pairs_blocked(
     """
     left, right = _sides(names, popular)
     key = lambda c: F.explode(_deletion_keys(F.col(c), max_distance, min_similarity)).alias("key")
-    met = left.select("package", key("package")).join(
-        right.select("popular", "rank", key("popular")), "key"
-    )
-    return _judged(met, max_distance, min_similarity).distinct()
+    met = left.select("*", key("package")).join(right.select("*", key("popular")), "key")
+    return _judged(met.where(_near(max_distance)), max_distance, min_similarity).distinct()
 
 
 def typosquat_alerts(
