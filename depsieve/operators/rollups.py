@@ -84,8 +84,11 @@ def file_hits(
     entropy of a high-entropy file and NULL for pattern hits.
     """
     path, content = F.col("path"), F.col("content")
+    # The key tests are those a later join would push down on one of its sides only,
+    # which would make two scans of what is one.
+    keyed = F.col("package").isNotNull() & F.col("version").isNotNull() & content.isNotNull()
     base = files.where(
-        content.isNotNull() & (in_walk(path, "hidden_pruned") | in_walk(path, "git_pruned"))
+        keyed & (in_walk(path, "hidden_pruned") | in_walk(path, "git_pruned"))
     ).select("package", "version", "path", "content")
     hits = family_array(path, content, families) if set(families) - {ENTROPY} else None
     if ENTROPY in families:

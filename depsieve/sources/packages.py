@@ -1,6 +1,7 @@
 """Package files: from landed archives or from extracted trees."""
 
 import io
+import itertools
 import tarfile
 from collections.abc import Iterable, Iterator
 
@@ -110,22 +111,42 @@ def read_package_tree(spark: SparkSession, folder: str, max_bytes: int = MAX_MEM
 
     A scoped package takes two folders (``@scope/name``). Spark's own file sources skip
     every name that starts with a dot or an underscore, which is where a package may
-    hide code, so tasks list and read the files themselves: the driver sees the names of
-    the top folders only, tasks list one of them each, and the files found are spread
-    evenly over new tasks before they are read.
+    hide code, so tasks list and read the files themselves. The driver sees only the
+    names of the top folders. Tasks open two more levels, each spread anew, then walk
+    what is below; the files found are spread evenly over new tasks before they are read.
     """
     from pyarrow import fs
 
     system, base = _open(folder)
-    tops = [(info.path,) for info in system.get_file_info(fs.FileSelector(base))]
-
-    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        target, _ = _open(folder)
-        for batch in batches:
-            for top in batch["top"]:
-                found = target.get_file_info(fs.FileSelector(top, recursive=True))
-                regular = [f for f in found if f.type == fs.FileType.File]
-                yield pd.DataFrame({"full": [f.path for f in regular], "size": [f.size for f in regular]})
+    tops = [(i.path, 0, i.type == fs.FileType.Directory) for i in system.get_file_info(fs.FileSelector(base))]
+    entry = "full STRING, size LONG, is_folder BOOLEAN"
+
+    def children(target, full: str) -> Iterator[tuple]:
+        for info in target.get_file_info(fs.FileSelector(full)):
+            if info.type in (fs.FileType.File, fs.FileType.Directory):
+                yield info.path, info.size or 0, info.type == fs.FileType.Directory
+
+    def open_folders(deep: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            target, _ = _open(folder)
+
+            def rows():
+                for batch in batches:
+                    pending = list(batch.itertuples(index=False, name=None))
+                    while pending:
+                        row = pending.pop()
+                        if not row[2]:
+                            yield row
+                        elif deep:
+                            pending.extend(children(target, row[0]))
+                        else:
+                            yield from children(target, row[0])
+
+            found = rows()
+            while chunk := list(itertools.islice(found, 10_000)):
+                yield pd.DataFrame(chunk, columns=["full", "size", "is_folder"])
+
+        return run
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         target, _ = _open(folder)
@@ -146,10 +167,11 @@ def read_package_tree(spark: SparkSession, folder: str, max_bytes: int = MAX_MEM
 
         yield from _frames(rows())
 
+    listed = spark.createDataFrame(tops, entry)
+    for deep in (False, False, True):
+        listed = listed.repartition("full").mapInPandas(open_folders(deep), entry)
     files = (
-        spark.createDataFrame(tops, "top STRING")
-        .repartition("top")
-        .mapInPandas(listed, "full STRING, size LONG")
+        listed.select("full", "size")
         .repartition("full")
         .mapInPandas(contents, "file STRING, content STRING, content_error STRING")
     )
