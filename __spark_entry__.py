@@ -177,12 +177,16 @@ def install_script_alerts(spark, sf):
 # --- names -----------------------------------------------------------------------
 
 
+def _popular_table(spark, sf):
+    return materialize(_popular(spark, sf), "popular")
+
+
 def typosquat_pairs(spark, sf):
-    return ds.typosquat_pairs(corpora.names(spark, sf), _popular(spark, sf))
+    return ds.typosquat_pairs(corpora.names(spark, sf), _popular_table(spark, sf))
 
 
 def typosquat_pairs_blocked(spark, sf):
-    return ds.typosquat_pairs_blocked(corpora.names(spark, sf), _popular(spark, sf))
+    return ds.typosquat_pairs_blocked(corpora.names(spark, sf), _popular_table(spark, sf))
 
 
 def typosquat_alerts(spark, sf):

@@ -14,10 +14,6 @@ def parse_object(text: Column, fields: str) -> Column:
     return F.when(F.size(parsed) == 1, parsed[0])
 
 
-def is_object(value: Column) -> Column:
-    return F.schema_of_variant(value).startswith("OBJECT")
-
-
 def truthy_text(value: Column) -> Column:
     """A JSON value as text if it is truthy, else NULL ('' , false, 0 and null)."""
     kind = F.schema_of_variant(value)

@@ -8,7 +8,7 @@ misname: nested and scoped packages, protocol ranges and peer suffixes.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depsieve.functions.json import is_object, parse_object, truthy_text
+from depsieve.functions.json import parse_object, truthy_text
 from depsieve.functions.text import LINE_END, SPACE
 from depsieve.rules import LOCKFILE_NAMES
 
@@ -44,13 +44,13 @@ def npm_lock_entries(lockfiles: DataFrame, nested: str = "path") -> DataFrame:
         lockfiles.where(F.col("file_name") == NPM)
         .select("*", parse_object(F.col("content"), both).alias("lock"))
         .select("project", "path", "file_name", F.posexplode(chosen).alias("ord", "key", "value"))
-        .where(is_object(F.col("value")))
         .select(
             "project",
             "path",
             "file_name",
             "ord",
             name.alias("package"),
+            # NULL unless the value is an object that has it
             truthy_text(F.try_variant_get("value", "$.version", "variant")).alias("version"),
         )
         .where(F.col("version").isNotNull())

@@ -70,19 +70,25 @@ def _deletion_keys(name: Column, max_distance: int, min_similarity: float) -> Co
     enough to another, so short names get few keys.
     """
 
-    def drop_one(text: Column) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
+    def drop_one(state: Column) -> Column:
+        # Later drops only at or after the last one, so each choice is made once.
+        text, start = state["text"], state["start"]
         return F.transform(
-            places,
-            lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))),
+            F.sequence(start, F.greatest(F.length(text), start)),
+            lambda i: F.struct(
+                F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))).alias("text"),
+                i.alias("start"),
+            ),
         )
 
-    levels = [F.array(name)]
+    level = F.array(F.struct(name.alias("text"), F.lit(1).alias("start")))
+    keys = [F.array(F.xxhash64(name))]
     for d in range(1, max_distance + 1):
-        shorter = F.array_distinct(F.flatten(F.transform(levels[-1], drop_one)))
         reachable = F.lit(1.0) - F.lit(float(d)) / (F.length(name) + d) >= min_similarity
-        levels.append(F.when(reachable, shorter).otherwise(F.array().cast("ARRAY<STRING>")))
-    return F.transform(F.array_distinct(F.concat(*levels)), lambda text: F.xxhash64(text))
+        level = F.when(reachable, F.flatten(F.transform(level, drop_one)))
+        hashed = F.transform(level, lambda state: F.xxhash64(state["text"]))
+        keys.append(F.coalesce(hashed, F.array().cast("ARRAY<LONG>")))
+    return F.array_distinct(F.concat(*keys))
 
 
 def typosquat_pairs_blocked(

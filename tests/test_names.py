@@ -41,7 +41,15 @@ def _distance(a, b):
 
 def test_both_joins_equal_brute_force(spark):
     rnd = random.Random(5)
-    words = sorted({"".join(rnd.choice("ab-c") for _ in range(rnd.randint(1, 12))) for _ in range(250)})
+    bases = ["".join(rnd.choice("ab-c") for _ in range(rnd.randint(1, 12))) for _ in range(60)]
+    words = set(bases)
+    for word in bases:
+        for _ in range(3):
+            for _ in range(rnd.randint(1, 3)):
+                i = rnd.randint(0, len(word))
+                word = word[:i] + rnd.choice(["", "a", "b", "-"]) + word[i + rnd.randint(0, 1) :]
+            words.add(word)
+    words = sorted(words - {""})
     popular = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "package STRING, rank INT")
     expected = {
         (a, b, _distance(a, b))
