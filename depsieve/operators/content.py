@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from depsieve.functions.text import LINE_END, SPACE, java_regex, let, utf16_left
 from depsieve.operators.files import in_walk, source_files
+from depsieve.operators.install import script_entries
 from depsieve.rules import (
     FILESYSTEM_PATTERNS,
     NETWORK_CALLS,
@@ -310,33 +311,48 @@ def network_structural_hits(files: DataFrame) -> DataFrame:
 
 # --- all families in one pass ----------------------------------------------------
 
-NETWORK, FILESYSTEM, SHELL, ENTROPY = "network", "filesystem", "shell", "entropy"
+NETWORK, FILESYSTEM, SHELL, ENTROPY, INSTALL = "network", "filesystem", "shell", "entropy", "install"
 FAMILIES = (NETWORK, FILESYSTEM, SHELL, ENTROPY)
+TAGGED = "ARRAY<STRUCT<family: STRING, rule_ord: INT, pos: INT, hit: STRING, text: STRING>>"
+MANIFEST_PATH = "package.json"
 
 
-def tagged_hit(family: str, rule_ord: Column, pos: Column, hit: Column) -> Column:
+def tagged_hit(family: str, rule_ord: Column, pos: Column, hit: Column, text: Column | None = None) -> Column:
     return F.struct(
-        F.lit(family).alias("family"), rule_ord.alias("rule_ord"), pos.alias("pos"), hit.alias("hit")
+        F.lit(family).alias("family"),
+        rule_ord.alias("rule_ord"),
+        pos.alias("pos"),
+        hit.alias("hit"),
+        (F.lit(None).cast("string") if text is None else text).alias("text"),
     )
 
 
 def family_array(path: Column, content: Column, families: tuple[str, ...]) -> Column:
-    """The distinct hits of one file for the wanted families, tagged with the family."""
+    """The distinct hits of one file for the wanted families, tagged with the family.
+
+    An install script is a hit of the root manifest: its name, with the command as text.
+    """
     hidden, git = in_walk(path, "hidden_pruned"), in_walk(path, "git_pruned")
     sources = {
         NETWORK: [(git, network_text_array(content)), (git, network_structure_array(content))],
         FILESYSTEM: [(hidden, filesystem_array(content, distinct=True))],
         SHELL: [(hidden, shell_call_array(content, True)), (hidden, shell_string_array(content, True))],
     }
-    empty = F.array().cast(HIT)
+    none = F.array().cast(TAGGED)
 
     def tag(hits: Column, family: str) -> Column:
         return F.transform(hits, lambda h: tagged_hit(family, h["rule_ord"], h["pos"], h["hit"]))
 
     tagged = [
-        tag(F.coalesce(F.when(walk, hits), empty), family)
+        F.coalesce(F.when(walk, tag(hits, family)), none)
         for family in families
         if family in sources
         for walk, hits in sources[family]
     ]
-    return F.concat(*tagged)
+    if INSTALL in families:
+        scripts = F.transform(
+            script_entries(content),
+            lambda e, i: tagged_hit(INSTALL, i.cast("int"), F.lit(0), e["key"], e["value"]),
+        )
+        tagged.append(F.coalesce(F.when(path == MANIFEST_PATH, scripts), none))
+    return F.concat(none, *tagged)

@@ -1,34 +1,34 @@
 """Manifests: install-time scripts and declared dependencies."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depsieve.functions.json import parse_object, truthy_text
+from depsieve.functions.json import last_value, parse_object, truthy_text, unique_entries
+from depsieve.functions.text import let
 from depsieve.rules import INSTALL_SCRIPT_NAMES
 from depsieve.schemas import alert_rows, details
 
 _VARIANTS = "MAP<STRING, VARIANT>"
 
 
+def script_entries(manifest: Column) -> Column:
+    """The install-time scripts of a manifest text: (key, value) pairs in fixed order."""
+    scripts = parse_object(manifest, f"scripts {_VARIANTS}")["scripts"]
+
+    def wanted(found: Column) -> Column:
+        pairs = [
+            F.struct(F.lit(name).alias("key"), truthy_text(last_value(found, F.lit(name))).alias("value"))
+            for name in INSTALL_SCRIPT_NAMES
+        ]
+        return F.filter(F.array(*pairs), lambda e: e["value"].isNotNull())
+
+    return let(scripts, wanted)
+
+
 def install_scripts(manifests: DataFrame) -> DataFrame:
     """Install-time scripts with a truthy command, as names in fixed order and as a map."""
-    scripts = parse_object(F.col("manifest"), f"scripts {_VARIANTS}")["scripts"]
-    entries = F.filter(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("key"),
-                    truthy_text(F.try_element_at("scripts", F.lit(name))).alias("value"),
-                )
-                for name in INSTALL_SCRIPT_NAMES
-            ]
-        ),
-        lambda e: e["value"].isNotNull(),
-    )
     return (
-        manifests.select("package", "version", scripts.alias("scripts"))
-        .where(F.col("scripts").isNotNull())
-        .select("package", "version", entries.alias("entries"))
+        manifests.select("package", "version", script_entries(F.col("manifest")).alias("entries"))
         .where(F.size("entries") > 0)
         .select(
             "package",
@@ -40,9 +40,13 @@ def install_scripts(manifests: DataFrame) -> DataFrame:
 
 
 def install_script_alerts(manifests: DataFrame) -> DataFrame:
+    return script_alerts(install_scripts(manifests))
+
+
+def script_alerts(scripts: DataFrame) -> DataFrame:
+    """Alerts from (package, version, names, scripts)."""
     message = F.concat(F.lit("Package contains install scripts: "), F.concat_ws(", ", "names"))
-    detail = details(scripts=F.col("scripts"))
-    return alert_rows(install_scripts(manifests), "install_script", "high", message, detail)
+    return alert_rows(scripts, "install_script", "high", message, details(scripts=F.col("scripts")))
 
 
 def declared_dependencies(manifests: DataFrame) -> DataFrame:
@@ -55,8 +59,9 @@ def declared_dependencies(manifests: DataFrame) -> DataFrame:
     keys = {c: owner.get(c, c) for c in manifests.columns if c != "manifest"}
     fields = f"dependencies {_VARIANTS}, devDependencies {_VARIANTS}"
     none = F.from_json(F.lit("{}"), _VARIANTS)
-    merged = F.map_concat(
-        F.map_filter("deps", lambda name, _: ~F.map_contains_key("dev", name)), F.col("dev")
+    own = lambda field: unique_entries(F.coalesce(f"m.{field}", none))
+    merged = F.concat(
+        F.filter("deps", lambda e: ~F.array_contains(F.col("dev.key"), e["key"])), F.col("dev")
     )
     return (
         manifests.select(
@@ -66,10 +71,10 @@ def declared_dependencies(manifests: DataFrame) -> DataFrame:
         .where(F.col("m").isNotNull())
         .select(
             *keys.values(),
-            F.coalesce("m.dependencies", none).alias("deps"),
-            F.coalesce("m.devDependencies", none).alias("dev"),
+            own("dependencies").alias("deps"),
+            own("devDependencies").alias("dev"),
         )
-        .select(*keys.values(), F.explode(merged).alias("package", "range"))
+        .select(*keys.values(), F.inline(merged).alias("package", "range"))
         .where(F.schema_of_variant("range") == "STRING")
         .select(
             *keys.values(),

@@ -8,7 +8,7 @@ misname: nested and scoped packages, protocol ranges and peer suffixes.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depsieve.functions.json import parse_object, truthy_text
+from depsieve.functions.json import parse_object, truthy_text, unique_entries
 from depsieve.functions.text import LINE_END, SPACE
 from depsieve.rules import LOCKFILE_NAMES
 
@@ -43,7 +43,8 @@ def npm_lock_entries(lockfiles: DataFrame, nested: str = "path") -> DataFrame:
     return (
         lockfiles.where(F.col("file_name") == NPM)
         .select("*", parse_object(F.col("content"), both).alias("lock"))
-        .select("project", "path", "file_name", F.posexplode(chosen).alias("ord", "key", "value"))
+        .select("project", "path", "file_name", F.posexplode(unique_entries(chosen)).alias("ord", "entry"))
+        .select("project", "path", "file_name", "ord", "entry.*")
         .select(
             "project",
             "path",

@@ -5,8 +5,20 @@ from pyspark.sql import functions as F
 
 from depsieve.functions.entropy import shannon_entropy
 from depsieve.functions.text import round2, utf16_length
-from depsieve.operators.content import ENTROPY, FAMILIES, FILESYSTEM, NETWORK, SHELL, family_array, tagged_hit, unfold
+from depsieve.operators.content import (
+    ENTROPY,
+    FAMILIES,
+    FILESYSTEM,
+    INSTALL,
+    MANIFEST_PATH,
+    NETWORK,
+    SHELL,
+    family_array,
+    tagged_hit,
+    unfold,
+)
 from depsieve.operators.files import in_walk, source_files
+from depsieve.operators.install import script_alerts
 from depsieve.rules import ENTROPY_MIN_UNITS, ENTROPY_THRESHOLD, SHELL_HITS_KEPT
 from depsieve.schemas import alert_rows, details
 
@@ -80,31 +92,28 @@ def file_hits(
 ) -> DataFrame:
     """One pass over the files: a row per file and distinct hit, for all families at once.
 
-    (package, version, family, path, rule_ord, pos, hit, value); ``value`` is the
-    entropy of a high-entropy file and NULL for pattern hits.
+    (package, version, family, path, rule_ord, pos, hit, text, value); ``value`` is the
+    entropy of a high-entropy file, ``text`` the command of an install script.
     """
     path, content = F.col("path"), F.col("content")
     # The key tests are those a later join would push down on one of its sides only,
     # which would make two scans of what is one.
     keyed = F.col("package").isNotNull() & F.col("version").isNotNull() & content.isNotNull()
-    base = files.where(
-        keyed & (in_walk(path, "hidden_pruned") | in_walk(path, "git_pruned"))
-    ).select("package", "version", "path", "content")
-    hits = family_array(path, content, families) if set(families) - {ENTROPY} else None
+    walked = in_walk(path, "hidden_pruned") | in_walk(path, "git_pruned")
+    if INSTALL in families:
+        walked = walked | (path == MANIFEST_PATH)
+    base = files.where(keyed & walked).select("package", "version", "path", "content")
+    hits = family_array(path, content, families)
+    value = F.lit(None).cast("double")
     if ENTROPY in families:
-        measured = F.when(
-            in_walk(path, "hidden_pruned") & _at_least(content, min_units), content
-        )
+        measured = F.when(in_walk(path, "hidden_pruned") & _at_least(content, min_units), content)
         base = base.withColumn("entropy", shannon_entropy(measured))
         flagged = F.array(tagged_hit(ENTROPY, F.lit(0), F.lit(0), path))
-        high = F.filter(flagged, lambda _: F.col("entropy") > threshold)
-        hits = high if hits is None else F.concat(hits, high)
+        hits = F.concat(hits, F.filter(flagged, lambda _: F.col("entropy") > threshold))
         value = F.when(F.col("family") == ENTROPY, F.col("entropy"))
-    else:
-        base = base.withColumn("entropy", F.lit(None).cast("double"))
-        value = F.col("entropy")
-    return unfold(base.select("package", "version", "path", "entropy", hits.alias("hits"))).select(
-        "package", "version", "family", "path", "rule_ord", "pos", "hit", value.alias("value")
+    kept = [c for c in base.columns if c != "content"]
+    return unfold(base.select(*kept, hits.alias("hits"))).select(
+        "package", "version", "family", "path", "rule_ord", "pos", "hit", "text", value.alias("value")
     )
 
 
@@ -114,7 +123,7 @@ def distinct_hits(hits: DataFrame) -> DataFrame:
     The grouping key holds the hit itself, so one huge package version is spread over
     all tasks, and repeats are merged before the shuffle.
     """
-    seen = F.struct("path", "rule_ord", "pos", "hit", "value")
+    seen = F.struct("path", "rule_ord", "pos", "hit", "text", "value")
     return hits.groupBy("package", "version", "family", "hit").agg(F.min(seen).alias("seen"))
 
 
@@ -175,3 +184,17 @@ def obfuscation_alerts(source: DataFrame, threshold: float = ENTROPY_THRESHOLD)
     detail = details(files=flagged, threshold=F.lit(threshold))
     message = "Package contains obfuscated code with high entropy"
     return alert_rows(packed, "obfuscated_code", "high", message, detail, part=F.col("part"))
+
+
+def manifest_script_alerts(source: DataFrame) -> DataFrame:
+    """Install-script alerts from the root manifests among the package files."""
+    pairs = F.sort_array(F.collect_list(F.struct("seen.rule_ord", "seen.hit", "seen.text")))
+    scripts = _of(source, INSTALL).groupBy("package", "version").agg(pairs.alias("pairs"))
+    return script_alerts(
+        scripts.select(
+            "package",
+            "version",
+            F.col("pairs.hit").alias("names"),
+            F.map_from_arrays(F.col("pairs.hit"), F.col("pairs.text")).alias("scripts"),
+        )
+    )

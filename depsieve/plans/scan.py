@@ -5,6 +5,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depsieve.operators.content import FAMILIES, INSTALL
 from depsieve.operators.install import install_script_alerts
 from depsieve.operators.ioc import incident_lockfile_alerts, known_compromised_alerts
 from depsieve.operators.names import fits, typosquat_alerts, typosquat_pairs
@@ -12,6 +13,7 @@ from depsieve.operators.rollups import (
     distinct_hits,
     file_hits,
     filesystem_alerts,
+    manifest_script_alerts,
     network_alerts,
     obfuscation_alerts,
     pack_in_parts,
@@ -20,25 +22,30 @@ from depsieve.operators.rollups import (
 from depsieve.rules import ENTROPY_THRESHOLD
 from depsieve.schemas import ALERT_COLUMNS, EXTRA_DETECTOR_ORD
 from depsieve.session import materialize
-from depsieve.sources.packages import read_manifests
 
 Detector = Callable[[DataFrame], DataFrame]
 BROADCAST_REQUESTS = 500_000
 
 
-def content_alerts(files: DataFrame, threshold: float = ENTROPY_THRESHOLD) -> DataFrame:
-    """Alerts of the four content detectors from a single pass over the files.
+def content_alerts(
+    files: DataFrame, threshold: float = ENTROPY_THRESHOLD, with_manifests: bool = False
+) -> DataFrame:
+    """Alerts of the content detectors from a single pass over the files.
 
     The distinct hits (tiny next to the contents) are written to the shared folder by
-    family; each detector then reads its own part.
+    family; each detector then reads its own part. ``with_manifests`` adds install
+    scripts, from the manifests among the files.
     """
-    hits = materialize(distinct_hits(file_hits(files, threshold=threshold)), "hits", ("family",))
-    return (
+    families = (*FAMILIES, INSTALL) if with_manifests else FAMILIES
+    found = distinct_hits(file_hits(files, families, threshold))
+    hits = materialize(found, "hits", ("family",))
+    alerts = (
         network_alerts(hits)
         .unionByName(filesystem_alerts(hits))
         .unionByName(obfuscation_alerts(hits, threshold))
         .unionByName(shell_alerts(hits))
     )
+    return alerts.unionByName(manifest_script_alerts(hits)) if with_manifests else alerts
 
 
 def scan_packages(
@@ -54,6 +61,8 @@ def scan_packages(
 ) -> DataFrame:
     """The alert table for all requested versions.
 
+    Without ``manifests``, install scripts come from the files' own root manifests.
+
     Requested versions that the registry still has (all, without an index) go through
     the six detectors and any extra ones. With an index and a known-bad table, the ones
     that are gone are looked up there, and lockfiles of the asking projects are checked.
@@ -71,8 +80,10 @@ def scan_packages(
     else:
         # Many: contents stay where they are, and only the alerts are matched.
         limit = lambda alerts: alerts.join(asked, key, "left_semi").select(*ALERT_COLUMNS)
-    manifests = read_manifests(files) if manifests is None else manifests.join(asked, key, "left_semi")
-    found = limit(content_alerts(files, threshold).unionByName(install_script_alerts(manifests)))
+    found = content_alerts(files, threshold, with_manifests=manifests is None)
+    if manifests is not None:
+        found = found.unionByName(install_script_alerts(manifests.join(asked, key, "left_semi")))
+    found = limit(found)
     found = found.unionByName(typosquat_alerts(typosquat_pairs(asked, popular), requests=asked))
     for i, detector in enumerate(extra_detectors):
         extra = detector(files).withColumn("detector_ord", F.lit(EXTRA_DETECTOR_ORD + i))

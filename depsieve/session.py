@@ -11,6 +11,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Objects with repeated keys are read as ECMAScript does: the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 _local_folders: dict[str, str] = {}

@@ -64,16 +64,25 @@ def scan_stream(
     out: str,
     checkpoint: str,
     available_now: bool = False,
+    files: DataFrame | None = None,
 ) -> StreamingQuery:
     """Scan each micro-batch of publications and write its alerts.
 
     ``scan`` turns a batch of (package, version) into alerts, reading static tables.
     Every batch overwrites its own ``batch_id=`` folder, so a replay after a failure
-    leaves the table as if it had run once.
+    leaves the table as if it had run once. With ``files``, publications in error go to
+    ``<out>-errors`` in the same way and do not stop the feed.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        write_alerts(scan(batch), f"{out}/batch_id={batch_id}")
+        batch.persist()
+        try:
+            write_alerts(scan(batch), f"{out}/batch_id={batch_id}")
+            if files is not None:
+                _, bad = quarantine(batch, files)
+                bad.write.mode("overwrite").parquet(f"{out}-errors/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = published.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 second"}

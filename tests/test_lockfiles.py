@@ -46,6 +46,11 @@ def test_npm(locks, lock, expected):
     assert entries(ds.npm_lock_entries(locks((NPM, json.dumps(lock))))) == expected
 
 
+def test_npm_repeated_keys(locks):
+    text = '{"packages":{"a":{"version":"1"},"b":{"version":"1","version":"2"},"a":{"version":"3"}}}'
+    assert entries(ds.npm_lock_entries(locks((NPM, text)))) == [("a", "3"), ("b", "2")]
+
+
 def test_npm_invalid(locks):
     assert entries(ds.npm_lock_entries(locks((NPM, '{"packages":{"a":{"version":"1"}}')))) == []
 

@@ -50,8 +50,11 @@ def test_truthiness(manifest, value, kept):
 
 
 def test_last_of_equal_keys_wins(manifest):
-    (row,) = ds.install_scripts(manifest('{"scripts":{"install":"a","install":"b"}}')).collect()
+    (row,) = ds.install_scripts(manifest('{"scripts":{"install":"a","install":"b","x":{"a":1,"a":2}}}')).collect()
     assert row.scripts == {"install": "b"}
+    text = '{"dependencies":{"a":"1","a":"2","b":"1"},"devDependencies":{"b":"3","b":"4"}}'
+    rows = ds.declared_dependencies(manifest(text)).collect()
+    assert sorted((r.package, r.version) for r in rows) == [("a", "2"), ("b", "4")]
 
 
 def test_read_manifests(make_files):

@@ -53,6 +53,8 @@ def test_dedupe(spark, landing, tmp_path):
 
 def test_scan_stream_is_idempotent(spark, landing, make_files, tmp_path):
     files = make_files(("a", "1.0.0", "x.js", "fs.rm(a)"), ("f", "2.0.0", "x.js", "fetch(u)"), ("z", "1", "x.js", "fetch(u)"))
+    extra = {"id": "h", "seq": 9, "doc": {"name": "h", "dist-tags": {"latest": "1"}}}
+    (landing / "9.json").write_text(json.dumps(extra))
     popular = ds.popular_packages(spark)
 
     def scan(batch):
@@ -61,13 +63,14 @@ def test_scan_stream_is_idempotent(spark, landing, make_files, tmp_path):
     out = str(tmp_path / "alerts")
     stream = ds.publications(ds.read_changes(spark, str(landing), files_per_trigger=3))
     for state in ("one", "two"):  # a lost checkpoint replays all batches
-        query = ds.scan_stream(stream, scan, out, str(tmp_path / state), available_now=True)
+        query = ds.scan_stream(stream, scan, out, str(tmp_path / state), available_now=True, files=files)
         assert query.awaitTermination(300)
         rows = spark.read.option("basePath", out).parquet(out).collect()
-        found = sorted((r.batch_id, r.package, r.alert_type) for r in rows)
-        assert [f[1:] for f in found] == [
+        assert sorted((r.package, r.alert_type) for r in rows) == [
             ("a", "filesystem_access"), ("a", "filesystem_access"), ("f", "network_access"),
         ]
+        errors = spark.read.option("basePath", f"{out}-errors").parquet(f"{out}-errors").collect()
+        assert [(r.package, r.reason) for r in errors] == [("h", "no files")]
 
 
 def test_quarantine(spark, make_files):
