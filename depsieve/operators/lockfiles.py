@@ -66,9 +66,9 @@ _REST_OF_BLOCK = rf"(?:(?!{_VERSION_LINE}){_INDENTED})*+{_VERSION_LINE}"
 _YARN_BLOCK = {
     "path": (
         rf'^"?([^@"{SPACE}]+)@[^":\n]+"?{_S}*'
-        rf'(?:,{_S}*"?[^@"{SPACE}]+@[^":\n]+"?)*+:{_S}*\n' + _REST_OF_BLOCK
+        rf'(?:,{_S}*"?[^@"{SPACE}]+@[^":\n]+"?)*+:(?>{_S}*\n)' + _REST_OF_BLOCK
     ),
-    "leaf": rf'^"?(@?[^@",{SPACE}]+)@[^\n]*:{_S}*\n' + _REST_OF_BLOCK,
+    "leaf": rf'^"?(@?[^@",{SPACE}]+)@[^\n]*:(?>{_S}*\n)' + _REST_OF_BLOCK,
 }
 
 

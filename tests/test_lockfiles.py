@@ -190,3 +190,21 @@ def test_incident_lockfiles(spark, locks, monkeypatch):
         rows = ds.incident_lockfile_alerts(incidents, files, bad).collect()
         found.append(sorted((r.project, r.package, r.version, r.details.package) for r in rows))
     assert found[0] == found[1] == [("p", "axios", "1.14.1", "axios"), ("p", "axios", "1.14.1", "plain-crypto-js")]
+
+
+def test_hostile_lockfiles_finish(locks):
+    n = 50_000
+    header = ", ".join(f'"a@{i}"' for i in range(20_000))
+    deep = '{"packages":{"node_modules/x":{"version":"1","d":' + "[" * 5000 + "]" * 5000 + "}}}"
+    files = locks(
+        (YARN, header + ':\n  version "1.0.0"\n'),
+        (YARN, "a@1:\n" + "\n" * n + " \n" * n),
+        (YARN, "a" * n + "@" * n + ":" * n),
+        (PNPM, "\n" * n + " " * n + "a/1.1.1" * n + "\n" + "  b@1.0.0:\n"),
+        (PNPM, "  " + "a/" * n + ":\n"),
+        (NPM, deep),
+        (NPM, '{"packages":{' + ",".join(f'"node_modules/p{i}":{{"version":"1"}}' for i in range(20_000)) + "}}"),
+    )
+    assert set(entries(ds.yarn_lock_entries(files))) == {("a", "1.0.0")}
+    assert entries(ds.pnpm_lock_entries(files)) == [("b", "1.0.0")]
+    assert ds.npm_lock_entries(files).count() == 20_000
