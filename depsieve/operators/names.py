@@ -11,7 +11,7 @@ from depsieve.rules import (
 )
 from depsieve.schemas import alert_rows, details
 
-BROADCAST_NAMES = 200
+BROADCAST_NAMES = 1000
 
 
 def fits(df: DataFrame, rows: int) -> bool:
@@ -19,31 +19,72 @@ def fits(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def _near(max_distance: int) -> Column:
-    """Lengths first. The bounded distance is -1 beyond the bound and 0 for equal names."""
-    return (F.abs(F.col("package_length") - F.col("popular_length")) <= max_distance) & (
-        F.levenshtein("package", "popular", max_distance) > 0
+def _letters(name: Column) -> Column:
+    """The set of characters of a name, folded into the 64 bits of a long."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(
+        F.split(name, ""),
+        F.lit(0).cast("long"),
+        lambda seen, char: seen.bitwiseOR(F.call_function("shiftleft", one, F.ascii(char) % 64)),
     )
 
 
-def _judged(near: DataFrame, max_distance: int, min_similarity: float) -> DataFrame:
-    """Pairs within the distance that are also similar enough for their length."""
+def _similarity(max_distance: int) -> Column:
     distance = F.levenshtein("package", "popular", max_distance)
-    similarity = 1 - distance / F.greatest(utf16_length(F.col("package")), utf16_length(F.col("popular")))
-    return near.where(similarity >= min_similarity).select(
-        "package", "popular", "rank", distance.alias("distance"), round2(similarity).alias("similarity")
-    )
+    return 1 - distance / F.greatest("package_units", "popular_units")
 
 
-def _sides(names: DataFrame, popular: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _alike(max_distance: int, min_similarity: float) -> Column:
+    """Whether two names are near and, for their length, similar enough.
+
+    Cheap bounds first: an edit changes the length by at most one, and takes at most
+    one character out of the set of characters and puts at most one in. One condition,
+    so that the optimizer keeps this order. The bounded distance is -1 beyond the bound
+    and 0 for equal names.
+    """
+    ours, theirs = F.col("package_letters"), F.col("popular_letters")
+    missing = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))) <= max_distance
     return (
-        names.select("package").distinct().withColumn("package_length", F.length("package")),
-        popular.select(
-            F.col("package").alias("popular"), "rank", F.length("package").alias("popular_length")
-        ),
+        (F.abs(F.col("package_length") - F.col("popular_length")) <= max_distance)
+        & missing(ours, theirs)
+        & missing(theirs, ours)
+        & (F.levenshtein("package", "popular", max_distance) > 0)
+        & (_similarity(max_distance) >= min_similarity)
     )
 
 
+def _judged(alike: DataFrame, max_distance: int) -> DataFrame:
+    return alike.select(
+        "package",
+        "popular",
+        "rank",
+        F.levenshtein("package", "popular", max_distance).alias("distance"),
+        round2(_similarity(max_distance)).alias("similarity"),
+    )
+
+
+def _measured(side: DataFrame, name: str) -> DataFrame:
+    """Everything the pair tests need of one name, worked out once per name."""
+    return side.select(
+        "*",
+        F.length(name).alias(f"{name}_length"),
+        utf16_length(F.col(name)).alias(f"{name}_units"),
+        _letters(F.col(name)).alias(f"{name}_letters"),
+    )
+
+
+def _sides(names: DataFrame, popular: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct names and the popular list.
+
+    Names are few bytes but much work each, so they are spread over a fixed number of
+    tasks; adaptive execution would merge them into very few by size.
+    """
+    tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = names.select("package").distinct().repartition(tasks, "package")
+    listed = popular.select(F.col("package").alias("popular"), "rank")
+    return distinct, listed
+
+
 def typosquat_pairs(
     names: DataFrame,
     popular: DataFrame,
@@ -59,8 +100,9 @@ def typosquat_pairs(
     if not fits(popular, broadcast_names):
         return typosquat_pairs_blocked(names, popular, max_distance, min_similarity)
     left, right = _sides(names, popular)
-    near = left.join(F.broadcast(right), _near(max_distance))
-    return _judged(near, max_distance, min_similarity)
+    alike = _alike(max_distance, min_similarity)
+    found = _measured(left, "package").join(F.broadcast(_measured(right, "popular")), alike)
+    return _judged(found, max_distance)
 
 
 def _deletion_keys(name: Column, max_distance: int, min_similarity: float) -> Column:
@@ -105,8 +147,9 @@ def typosquat_pairs_blocked(
     """
     left, right = _sides(names, popular)
     key = lambda c: F.explode(_deletion_keys(F.col(c), max_distance, min_similarity)).alias("key")
-    met = left.select("*", key("package")).join(right.select("*", key("popular")), "key")
-    return _judged(met.where(_near(max_distance)), max_distance, min_similarity).distinct()
+    met = left.select("package", key("package")).join(right.select("popular", "rank", key("popular")), "key")
+    pairs = _measured(_measured(met.drop("key"), "package"), "popular")
+    return _judged(pairs.where(_alike(max_distance, min_similarity)), max_distance).distinct()
 
 
 def typosquat_alerts(

@@ -56,7 +56,7 @@ def test_lock_entries_do_not_shuffle(spark):
 
 
 def test_large_lists_do_not_use_nested_loops(spark):
-    names = spark.range(300).selectExpr("concat('name-', id) as package", "cast(id as int) as rank")
+    names = spark.range(1100).selectExpr("concat('name-', id) as package", "cast(id as int) as rank")
     plan = ds.typosquat_pairs(names, names)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
