@@ -425,7 +425,26 @@ def _on_files(operator) -> Query:
     return lambda spark, sf: operator(_files(spark, sf))
 
 
+def _llm():
+    """The modules of the corpus-preparation operators, or none where that subpackage was left out."""
+    try:
+        import corpus_pipeline
+        from depsieve.llm import queries as llm_queries
+    except ModuleNotFoundError as error:
+        if error.name in ("corpus_pipeline", "depsieve.llm"):
+            return None
+        raise
+    return llm_queries, corpus_pipeline
+
+
 def queries() -> dict[str, Query]:
+    found = _own_queries()
+    if llm := _llm():
+        found |= llm[0].QUERIES | {"pipeline": llm[1].run}
+    return found
+
+
+def _own_queries() -> dict[str, Query]:
     return {
         "ingest_archives": ingest_archives,
         "read_package_tree": read_package_tree,
@@ -482,4 +501,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.oracle_sql()
+    found = oracles.oracle_sql()
+    if llm := _llm():
+        found |= llm[0].ORACLE_SQL
+        if llm[1].ORACLE_SQL:
+            found["pipeline"] = llm[1].ORACLE_SQL
+    return found
