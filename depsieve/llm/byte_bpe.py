@@ -93,25 +93,35 @@ class PerfectHash:
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ranks of a piece after all merges, the lowest rank first and leftmost on ties."""
+    """Ranks of a piece after all merges, the lowest rank first and leftmost on ties.
+
+    A candidate on the heap is one integer: rank, place of its left part and its own end.
+    """
     n = len(piece)
+    rank_of = ranks.get
+    bits = n.bit_length()
+    mask, both = (1 << bits) - 1, 2 * bits
     end = list(range(1, n + 1))  # of the part that begins here; 0 once merged into an earlier one
     before = list(range(-1, n))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heap = []
+    for i in range(n - 1):
+        if (r := rank_of(piece[i : i + 2])) is not None:
+            heap.append(r << both | i << bits | i + 2)
     heapq.heapify(heap)
+    pop, push = heapq.heappop, heapq.heappush
     while heap:
-        _, i, stop = heapq.heappop(heap)
+        top = pop(heap)
+        stop, i = top & mask, top >> bits & mask
         middle = end[i]
         if not middle or middle >= n or end[middle] != stop:
             continue  # one of its parts has changed since
         end[i], end[middle] = stop, 0
         if stop < n:
             before[stop] = i
-            if (r := ranks.get(piece[i : end[stop]])) is not None:
-                heapq.heappush(heap, (r, i, end[stop]))
-        p = before[i]
-        if p >= 0 and (r := ranks.get(piece[p:stop])) is not None:
-            heapq.heappush(heap, (r, p, stop))
+            if (r := rank_of(piece[i : end[stop]])) is not None:
+                push(heap, r << both | i << bits | end[stop])
+        if i and (r := rank_of(piece[before[i] : stop])) is not None:
+            push(heap, r << both | before[i] << bits | stop)
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -192,20 +202,23 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", drop_ids: bool = False) -> DataFrame:
     """The input with decoded (binary): the bytes of each row's ids, one after another.
 
-    Null arrays give empty bytes; an id that the vocabulary lacks fails the job, as a
-    silent gap would be a wrong text. A decoded column of the input is replaced.
+    Null arrays give empty bytes; an id beyond the vocabulary fails the job, as a silent gap
+    would be a wrong text. A decoded column of the input is replaced.
     """
-    vocabulary = {rank: entry for entry, rank in read_ranks(ranks_path).items()}
+    ranks = read_ranks(ranks_path)
+    vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
+    for entry, rank in ranks.items():
+        vocabulary[rank] = entry
     shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
     kept = without(encoded.schema, ("decoded", *([ids] if drop_ids else [])))
     schema = T.StructType([*kept, T.StructField("decoded", T.BinaryType())])
     names = kept.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry = shared.value.__getitem__
+        entries = shared.value
         for batch in batches:
             column = batch.column(batch.schema.names.index(ids))
-            rows = [b"".join(map(entry, row.values.tolist() if row.is_valid else ())) for row in column]
+            rows = [b"".join([entries[i] for i in row.values.to_numpy().tolist()]) if row.is_valid else b"" for row in column]
             yield add_columns(batch, names, decoded=pa.array(rows, pa.binary()))
 
     return encoded.mapInArrow(run, schema)

@@ -4,14 +4,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, token_counts
-from .common import lower_ascii, whole_text
+from . import byte_bpe, exact_dedup, jaccard_join, line_dedup, token_counts, toxicity
+from .common import crc_bucket, lower_ascii, whole_text
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+#: The share of toxicity from which a document counts as toxic.
+TOXIC_FROM = 0.3
+
+
+def op2_line_dedup(spark, sf):
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated_passages(docs)
+
+
+def op3_jaccard_join(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return jaccard_join.jaccard_components(docs, jaccard_join.Settings(words=4, percent=85))
+
+
 def op4_token_counts(spark, sf):
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), drop_text=True)
@@ -28,6 +42,15 @@ def op5_byte_bpe(spark, sf):
     )
 
 
+def op8_toxicity(spark, sf):
+    docs, labels = _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "labels")
+    model = toxicity.fit(docs, labels.where(crc_bucket("doc_id", 4) != 2))
+    held_out = (crc_bucket("doc_id", 4) == 2).alias("held_out")
+    return toxicity.score(docs, model, drop_text=True).select(
+        "doc_id", held_out, "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
+    )
+
+
 def op9_exact_dedup(spark, sf):
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     digest = F.sha2(lower_ascii(whole_text()).cast("binary"), 256)
@@ -36,8 +59,11 @@ def op9_exact_dedup(spark, sf):
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
