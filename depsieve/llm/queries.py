@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, jaccard_join, line_dedup, token_counts, toxicity
+from . import byte_bpe, decontamination, exact_dedup, jaccard_join, line_dedup, token_counts, toxicity
 from .common import crc_bucket, lower_ascii, whole_text
 
 
@@ -58,6 +58,10 @@ def op9_exact_dedup(spark, sf):
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_decontamination(spark, sf):
+    return decontamination.find_contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
@@ -65,6 +69,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontamination": op10_decontamination,
 }
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -1,11 +1,14 @@
 """Toxicity by a bag of subwords: averaged n-gram embeddings under a linear softmax.
 
 Every word contributes its character n-grams (with word edges marked), hashed into a fixed
-number of rows of an embedding table. A text is the mean of its rows; a linear softmax over
+number of rows of an embedding table. A text is the mean of its rows, a
+word weighing by the square root of its number, so that a text that repeats one word is not
+judged by it alone; a linear softmax over
 that mean gives the two classes. Table and softmax are trained together in numpy. A word that
 was never seen still shares n-grams with words that were, which is what catches misspellings.
 """
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +34,9 @@ class Settings:
     longest: int = 6
     epochs: int = 8
     batch: int = 64
-    rate: float = 0.05
+    rate: float = 1.5
+    #: How much more an error on a toxic text costs in training.
+    toxic_weight: float = 4.0
     seed: int = 11
 
 
@@ -53,25 +58,29 @@ def _words(text: str) -> list[bytes]:
 
 
 def _features(text: str, s: Settings, memo: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct table rows of a text and their counts."""
-    if len(memo) > MEMO_WORDS // 10:
+    """Distinct table rows of a text and their weights: a word counts by the root of its number."""
+    if len(memo) > MEMO_WORDS // 5:
         memo.clear()
-    parts = []
-    for w in _words(text):
+    words = Counter(_words(text))
+    for w in words:
         if w not in memo:
             memo[w] = subwords(w, s)
-        parts.append(memo[w])
-    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+    if not words:
+        return np.empty(0, np.int64), np.empty(0)
+    parts = [memo[w] for w in words]
+    rows, where = np.unique(np.concatenate(parts), return_inverse=True)
+    times = np.repeat(np.sqrt(list(words.values())), [len(p) for p in parts])
+    return rows, np.bincount(where, times)
 
 
 def _rows_of(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            rows, counts = zip(*[_features(t, s, memo) for t in texts_of(batch.column(0))], strict=True) if batch.num_rows else ((), ())
+            rows, weights = zip(*[_features(t, s, memo) for t in texts_of(batch.column(0))], strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for c in counts], pa.list_(pa.int32())), batch.column(1)],
-                names=["rows", "counts", "toxic"],
+                [pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64())), batch.column(1)],
+                names=["rows", "weights", "toxic"],
             )
 
     return run
@@ -107,6 +116,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> Model:
             p /= p.sum(1, keepdims=True)
             off = p.copy()
             off[np.arange(len(part)), [b[2] for b in part]] -= 1
+            off *= np.array([s.toxic_weight if b[2] else 1.0 for b in part])[:, None]
             to_mean = off @ soft.T
             each = np.repeat(np.arange(len(part)), sizes)
             distinct, where = np.unique(rows, return_inverse=True)
@@ -139,10 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), tex
     # Broadcast of ids and labels: at most sample_docs rows of two numbers.
     met = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), doc_id)
     met = met.groupBy(doc_id, "toxic").agg(F.min("_text").alias("_text")).select("_text", "toxic")
-    table = met.mapInArrow(_rows_of(settings), "rows array<int>, counts array<int>, toxic int").toArrow()
-    rows, counts, toxic = (table.column(c).to_pylist() if c == "toxic" else [x.values.to_numpy() for x in table.column(c)] for c in ("rows", "counts", "toxic"))
+    table = met.mapInArrow(_rows_of(settings), "rows array<int>, weights array<double>, toxic int").toArrow()
+    toxic = table.column("toxic").to_pylist()
+    rows, weights = ([x.values.to_numpy() for x in table.column(c)] for c in ("rows", "weights"))
     order = sorted(range(len(toxic)), key=lambda i: (toxic[i], len(rows[i]), rows[i].tobytes()))
-    bags = [(rows[i].astype(np.int64), counts[i], min(max(toxic[i], 0), 1)) for i in order]
+    bags = [(rows[i].astype(np.int64), weights[i], min(max(toxic[i], 0), 1)) for i in order]
     return train(bags, settings)
 
 
@@ -182,8 +193,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = F
         for batch in batches:
             out = np.full(batch.num_rows, bias)
             for i, t in enumerate(texts_of(batch.column(batch.schema.names.index(text)))):
-                if words := _words(t):
-                    total = np.fromiter(map(look_up, words), np.complex128, len(words)).sum()
+                if words := Counter(_words(t)):
+                    sums = np.fromiter(map(look_up, words), np.complex128, len(words))
+                    total = (sums * np.sqrt(np.fromiter(words.values(), float, len(words)))).sum()
                     out[i] += total.real / total.imag
             yield add_columns(batch, names, score=pa.array(1 / (1 + np.exp(-np.clip(out, -700, 700)))))
 

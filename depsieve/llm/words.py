@@ -12,6 +12,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_IS_EDGE = _IS_SPACE.copy()  # with ASCII punctuation, for words without it
+_IS_EDGE[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 #: Bytes that are hashed at a time; eight-byte arrays of this length are made on the way.
 PIECE = 1 << 20
 _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(PIECE, _MULTIPLIER))])
@@ -27,9 +29,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _piece_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _piece_hashes(data: np.ndarray, edges: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start offsets and hashes of the words in a piece that has spaces at both ends' cuts."""
-    space = _IS_SPACE[data]
+    space = edges[data]
     edge = np.diff(space.view(np.int8), prepend=1, append=1)
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(starts):
@@ -50,30 +52,32 @@ def _long_word(data: np.ndarray) -> np.uint64:
     return mix(np.array([total + np.uint64(len(data)) * np.uint64(0x9E3779B97F4A7C15)]))[0]
 
 
-def _cuts(data: np.ndarray) -> Iterator[tuple[int, int]]:
+def _cuts(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int]]:
     """Pieces of at most PIECE bytes that end at a space, or longer ones that are one word."""
     at, n = 0, len(data)
     while at < n:
         end = min(at + PIECE, n)
         if end < n:
-            back = np.flatnonzero(_IS_SPACE[data[at:end]])
+            back = np.flatnonzero(edges[data[at:end]])
             if len(back):
                 end = at + int(back[-1]) + 1
             else:
-                while end < n and not _IS_SPACE[data[end]]:
+                while end < n and not edges[data[end]]:
                     stop = min(end + PIECE, n)
-                    ahead = np.flatnonzero(_IS_SPACE[data[end:stop]])
+                    ahead = np.flatnonzero(edges[data[end:stop]])
                     end = end + int(ahead[0]) if len(ahead) else stop
         yield at, end
         at = end
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, punctuation: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, offsets of each text's words); null texts have none.
 
-    A-Z are lower-cased; words end at the six ASCII white-space characters. Two words have
-    the same hash only by a collision of 64 bits.
+    A-Z are lower-cased; words end at the six ASCII white-space characters and, without
+    ``punctuation``, at ASCII punctuation too. Two words have the same hash only by a
+    collision of 64 bits.
     """
+    edges = _IS_SPACE if punctuation else _IS_EDGE
     texts = texts.cast(pa.large_string())
     if texts.null_count:
         texts = texts.fill_null("")
@@ -90,11 +94,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         while j < len(texts) and offsets[j + 1] - offsets[i] + (j - i) < PIECE:
             j += 1
         if j == i:  # one long text
-            for a, b in _cuts(own := data[offsets[i] : offsets[i + 1]]):
+            for a, b in _cuts(own := data[offsets[i] : offsets[i + 1]], edges):
                 if b - a > PIECE:
                     found = np.array([_long_word(own[a:b])], np.uint64)
                 else:
-                    found = _piece_hashes(own[a:b])[1]
+                    found = _piece_hashes(own[a:b], edges)[1]
                 counts[i] += len(found)
                 hashes.append(found)
             i += 1
@@ -104,7 +108,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         joined = np.full(int(sizes.sum()) + (j - i), 32, np.uint8)
         own = data[offsets[i] : offsets[j]]
         joined[np.arange(len(own)) + np.repeat(np.arange(j - i), sizes)] = own
-        starts, found = _piece_hashes(joined)
+        starts, found = _piece_hashes(joined, edges)
         counts[i:j] = np.diff(np.searchsorted(starts, np.append(begins, len(joined))))
         hashes.append(found)
         i = j
