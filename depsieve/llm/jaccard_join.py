@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
@@ -114,7 +114,14 @@ class _FrequentTokens:
             self.tokens, self.counts = self.tokens[self.counts > 0], self.counts[self.counts > 0]
 
 
-_DESCRIBED = "doc_id long, n_shingles long, set_id long, token long, count long"
+_DESCRIBED = "doc_id long, n_shingles long, set_id long, histogram array<smallint>, token long, count long"
+
+
+def _histogram(tokens: np.ndarray) -> np.ndarray:
+    """Tokens by the top bits of their hash; about one bin for four to eight tokens."""
+    bits = max((len(tokens) // 4).bit_length() - 1, 1)
+    counts = np.bincount((tokens >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(counts, 32767).astype(np.int16)
 
 
 def _describe(docs: DataFrame, s: Settings) -> DataFrame:
@@ -122,21 +129,25 @@ def _describe(docs: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = _FrequentTokens(s.frequent_entries), set()
+        names = ["doc_id", "n_shingles", "set_id", "histogram", "token", "count"]
         for batch in batches:
-            sizes, ids = [], []
+            sizes, ids, bins = [], [], []
             for tokens in _token_sets(batch.column(1), s.words):
                 own = int(_set_id(tokens).astype(np.int64))
                 sizes.append(len(tokens))
                 ids.append(own)
+                bins.append(None)
                 if own not in seen:  # copies of one set count once in a task
                     seen.add(own)
                     frequent.add(tokens)
+                    bins[-1] = _histogram(tokens)
             empty = pa.nulls(len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), empty, empty], names=["doc_id", "n_shingles", "set_id", "token", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(bins, pa.list_(pa.int16())), empty, empty], names=names)
         frequent.settle()
         keep = frequent.counts >= 2
         empty = pa.nulls(int(keep.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, pa.array(frequent.tokens[keep].view(np.int64)), pa.array(frequent.counts[keep])], names=["doc_id", "n_shingles", "set_id", "token", "count"])
+        none = pa.nulls(len(empty), pa.list_(pa.int16()))
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, none, pa.array(frequent.tokens[keep].view(np.int64)), pa.array(frequent.counts[keep])], names=names)
 
     return docs.mapInArrow(run, _DESCRIBED)
 
@@ -186,7 +197,31 @@ def _whole_sets(docs: DataFrame, s: Settings) -> DataFrame:
     return docs.mapInArrow(run, "set_id long, tokens array<long>")
 
 
-def _links(postings: DataFrame, sets: DataFrame, s: Settings) -> DataFrame | None:
+def _most_common(x: Column, y: Column) -> Column:
+    """The most tokens two sets can share, by their histograms; the finer one is folded."""
+
+    def folded(h: Column, size: Column) -> Column:
+        each = (F.size(h) / size).cast("int")
+        return F.transform(F.sequence(F.lit(1), size), lambda i: F.aggregate(F.slice(h, (i - 1) * each + 1, each), F.lit(0), lambda a, c: a + c))
+
+    size = F.least(F.size(x), F.size(y))
+    both = F.zip_with(folded(x, size), folded(y, size), lambda a, b: F.least(a, b))
+    return F.aggregate(both, F.lit(0), lambda a, c: a + c)
+
+
+def _likely(pairs: DataFrame, histograms: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) that their histograms allow to be linked; no link is lost.
+
+    A bin stops counting at 32,767, so where one is full the pair passes.
+    """
+    met = pairs.join(histograms.select(F.col("set_id").alias("a"), F.col("histogram").alias("x"), F.col("n_shingles").alias("n")), "a")
+    met = met.join(histograms.select(F.col("set_id").alias("b"), F.col("histogram").alias("y"), F.col("n_shingles").alias("m")), "b")
+    full = (F.array_max("x") == 32767) | (F.array_max("y") == 32767)
+    both = _most_common(F.col("x"), F.col("y"))
+    return met.where(full | (100 * both >= s.percent * (F.col("n") + F.col("m") - both))).select("a", "b")
+
+
+def _links(postings: DataFrame, histograms: DataFrame, whole_sets, s: Settings) -> DataFrame | None:
     """(node, root) of the sets that are linked with others.
 
     All members of a posting list would make pairs by the square of its length. Instead a few
@@ -206,7 +241,9 @@ def _links(postings: DataFrame, sets: DataFrame, s: Settings) -> DataFrame | Non
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"op3-pairs-{turn}")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        met = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
+        likely = stored(_likely(pairs, histograms, s), f"op3-likely-{turn}")
+        sets = whole_sets(likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), turn)
+        met = likely.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
         met = met.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
         both = F.size(F.array_intersect("x", "y"))
         found = stored(met.where(100 * both >= s.percent * (F.size("x") + F.size("y") - both)).select("a", "b"), f"op3-links-{turn}")
@@ -256,13 +293,22 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), text: s
     postings = stored(postings.join(several, "sig"), "op3-postings-0")
     drop_stored("op3-index", docs.sparkSession)
 
+    owner = own.groupBy("set_id").agg(F.min("doc_id").alias("_id"))
+
+    def whole_sets(needed: DataFrame, turn: int) -> DataFrame:
+        """Tokens of the sets that have to be compared, from one document of each."""
+        first = stored(needed.join(owner, "set_id"), f"op3-first-{turn}")
+        chosen = first.select("_id").distinct()
+        texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_id"])).select("doc_id", "_text")
+        # An id that several documents share brings in the sets of all; repeats do no harm,
+        # as the links found are made distinct.
+        return stored(_whole_sets(texts, s).join(needed, "set_id", "left_semi"), f"op3-sets-{turn}")
+
+    histograms = described.where("histogram is not null").select("set_id", "histogram", "n_shingles")
     needed = postings.select("set_id").distinct()
-    first = own.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(needed, "set_id", "left_semi")
-    first = stored(first, "op3-first")
-    chosen = first.select(F.col("doc_id").alias("_id")).distinct()
-    texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_id"])).select("doc_id", "_text")
-    sets = _whole_sets(texts, s).join(first.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
-    joined = _links(postings, stored(sets, "op3-sets"), s)
+    # Any of the equal rows that copies in different tasks have left.
+    histograms = histograms.join(needed, "set_id", "left_semi").distinct()
+    joined = _links(postings, stored(histograms, "op3-histograms"), whole_sets, s)
 
     smallest = own.groupBy("set_id").agg(F.min("doc_id").alias("smallest"))
     if joined is not None:

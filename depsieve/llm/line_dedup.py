@@ -92,7 +92,7 @@ def remove_repeated_passages(
 
     A document of which no line is left is dropped, as all of it stands elsewhere; one that
     has no repeated passage stays as it is (null and empty texts too). Null ids rank before
-    all others. Rows that repeat id and text count as one document and are treated alike.
+    all others; ids are whole numbers. Rows that repeat an id are treated alike.
     Further columns are kept, but for names that begin with an underscore. No rows in, no
     rows out.
     """
@@ -112,10 +112,13 @@ def remove_repeated_passages(
     pieces = cut.select("_id", "_hash", F.inline(_pieces(window)))
 
     # One row per key after map-side aggregation, however many documents share the passage.
-    place = F.struct("_id", "_hash", "first")
-    repeated = pieces.groupBy("key").agg(F.min(place).alias("_keep"), F.max(place).alias("_other")).where("_keep <> _other")
-    spans = pieces.join(repeated, "key").select(
-        "_id", "_hash", "first", "last", "key", "n", (~place.eqNullSafe(F.col("_keep"))).alias("removable")
+    # A place is one number: id and line, which a hash aggregate keeps in place.
+    before_all = F.lit("-10000000000000000000").cast("decimal(20,0)")
+    place = F.coalesce(F.col("_id").cast("decimal(20,0)"), before_all) * F.lit("10000000000").cast("decimal(11,0)") + F.col("first")
+    pieces = pieces.withColumn("_place", place.cast("decimal(38,0)"))
+    repeated = pieces.groupBy("key").agg(F.min("_place").alias("_keep"), F.max("_place").alias("_other")).where("_keep <> _other")
+    spans = pieces.join(repeated.drop("_other"), "key").select(
+        "_id", "_hash", "first", "last", "key", "n", (F.col("_place") != F.col("_keep")).alias("removable")
     )
     spans = stored(spans, "op2-spans")
     different = stored(_different_lines(docs.select(*keys, raw.alias("_text")), spans), "op2-different")

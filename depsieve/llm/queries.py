@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontamination, exact_dedup, jaccard_join, line_dedup, token_counts, toxicity
+from . import byte_bpe, chat_format, decontamination, exact_dedup, jaccard_join, line_dedup, token_counts, toxicity, url_filters
 from .common import crc_bucket, lower_ascii, whole_text
 
 
@@ -16,6 +16,14 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 TOXIC_FROM = 0.3
 
 
+RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+
+
+def op1_url_filters(spark, sf):
+    rules = spark.createDataFrame(RULES, "rule string, verdict string")
+    return url_filters.judge_urls(_table(spark, sf, "pages"), rules)
+
+
 def op2_line_dedup(spark, sf):
     docs = _table(spark, sf, "documents").select("doc_id", "text")
     return line_dedup.remove_repeated_passages(docs)
@@ -42,6 +50,30 @@ def op5_byte_bpe(spark, sf):
     )
 
 
+#: A conversation of control strings, beside those of the table.
+CONTROL_CONVERSATION = ((-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]"))
+
+
+def op6_chat_format(spark, sf):
+    own = spark.createDataFrame(CONTROL_CONVERSATION, "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", empty("role"), empty("text")))).alias("t"))
+    first, second = F.get("t", F.lit(0)), F.get("t", F.lit(1))
+    # Single questions come as prompt and response, all others as a list of messages.
+    single = (F.size("t") == 2) & (first["role"] == "user") & (second["role"] == "assistant")
+    prompt = F.to_json(F.struct(first["text"].alias("prompt"), second["text"].alias("response")))
+    messages = F.to_json(F.struct(F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
+    records = turns.select("conv_id", F.when(single, prompt).otherwise(messages).alias("record"))
+    formatted = chat_format.format_turns(chat_format.canonical_turns(records))
+    read = formatted.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.learned_text(F.col("formatted"), F.col("loss_spans")).alias("learned"))
+    lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_toxicity(spark, sf):
     docs, labels = _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "labels")
     model = toxicity.fit(docs, labels.where(crc_bucket("doc_id", 4) != 2))
@@ -63,10 +95,12 @@ def op10_decontamination(spark, sf):
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_chat_format": op6_chat_format,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
@@ -75,6 +109,18 @@ QUERIES = {
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op6_chat_format": """
+        with rows as (
+          select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+          union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        turns as (
+          select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as lines,
+            coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as learned,
+            sum(24 + length(both) + 2 * (length(both) - length(replace(both, '<', ''))) + 2 * (length(both) - length(replace(both, '[', '')))
+              + length(both) - length(replace(both, chr(92), ''))) as formatted_chars
+          from (select *, role || text as both from rows) group by conv_id)
+        select conv_id, n_turns, sha256(lines) as turns_sha256, length(learned) as loss_chars, sha256(learned) as loss_sha256,
+          cast(formatted_chars as bigint) as formatted_chars from turns""",
     "op9_exact_dedup": f"""
         with rows as (select doc_id, sha256({_NORMAL}) as text_sha256 from documents)
         select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size,

@@ -27,7 +27,7 @@ MEMO_WORDS = 500_000
 @dataclass(frozen=True)
 class Settings:
     #: The bound on labelled texts that are gathered for training.
-    sample_docs: int = 8_000
+    sample_docs: int = 10_000
     buckets: int = 1 << 17
     dimensions: int = 8
     shortest: int = 3
