@@ -1,5 +1,6 @@
 """Small helpers shared by the corpus operators."""
 
+import functools
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -14,6 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _scratch: list[str] = []
+_left: dict[str, list[str]] = {}
 
 
 def lower_ascii(text: Column) -> Column:
@@ -43,19 +45,36 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete what ``stored`` has written in this session; nothing may read it any more."""
-    while _scratch:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def scratch_of(owner: str):
+    """Wraps functions that come one after another, each reading only what its predecessor
+    wrote: what the predecessor of the same owner had stored is deleted at the next call."""
 
+    def wrap(function):
+        @functools.wraps(function)
+        def call(spark: SparkSession, *args):
+            for path in _left.pop(owner, []):
+                _delete(spark, path)
+            before = len(_scratch)
+            found = function(spark, *args)
+            _left[owner] = _scratch[before:]
+            del _scratch[before:]
+            return found
 
-def drop_stored(df_label: str, spark: SparkSession) -> None:
+        return call
+
+    return wrap
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_stored(label: str, spark: SparkSession) -> None:
     """Delete the stored tables of one label, once their last reader has run."""
-    for name in [p for p in _scratch if f"/{df_label}-" in p]:
+    for name in [p for p in _scratch if p.rpartition("/")[2].rpartition("-")[0] == label]:
         _scratch.remove(name)
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, name)
 
 
 def without(schema: T.StructType, names: Iterable[str]) -> T.StructType:

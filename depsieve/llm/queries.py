@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontamination, exact_dedup, jaccard_join, line_dedup, token_counts, toxicity, url_filters
+from . import byte_bpe, chat_format, decontamination, exact_dedup, jaccard_join, line_dedup, lm_scoring, token_counts, toxicity, url_filters
 from .common import crc_bucket, lower_ascii, whole_text
 
 
@@ -74,6 +74,11 @@ def op6_chat_format(spark, sf):
     )
 
 
+def op7_lm_scoring(spark, sf):
+    docs = _table(spark, sf, "documents")
+    return lm_scoring.score_texts(docs, crc_bucket("doc_id", 10) == 0, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_toxicity(spark, sf):
     docs, labels = _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "labels")
     model = toxicity.fit(docs, labels.where(crc_bucket("doc_id", 4) != 2))
@@ -101,6 +106,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_chat_format": op6_chat_format,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
@@ -116,9 +122,9 @@ ORACLE_SQL = {
         turns as (
           select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as lines,
             coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as learned,
-            sum(24 + length(both) + 2 * (length(both) - length(replace(both, '<', ''))) + 2 * (length(both) - length(replace(both, '[', '')))
-              + length(both) - length(replace(both, chr(92), ''))) as formatted_chars
-          from (select *, role || text as both from rows) group by conv_id)
+            sum(24 + length(said) + 2 * (length(said) - length(replace(said, '<', ''))) + 2 * (length(said) - length(replace(said, '[', '')))
+              + length(said) - length(replace(said, chr(92), ''))) as formatted_chars
+          from (select *, role || text as said from rows) group by conv_id)
         select conv_id, n_turns, sha256(lines) as turns_sha256, length(learned) as loss_chars, sha256(learned) as loss_sha256,
           cast(formatted_chars as bigint) as formatted_chars from turns""",
     "op9_exact_dedup": f"""

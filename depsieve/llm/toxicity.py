@@ -160,16 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), tex
 _memos: dict[str, dict] = {}
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False) -> DataFrame:
-    """The input with score, between 0 and 1, of every whole text.
+def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False, output: str = "score") -> DataFrame:
+    """The input with ``output``, the score between 0 and 1, of every whole text.
 
-    Null and empty texts have no subwords: their score is that of the bias alone. A score
-    column of the input is replaced. The broadcast model has one number per table row.
+    Null and empty texts have no subwords: their score is that of the bias alone. A
+    column of that name is replaced. The broadcast model has one number per table row.
     """
     s = model.settings
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias))
-    kept = without(docs.schema, ("score", *([text] if drop_text else [])))
-    schema = T.StructType([*kept, T.StructField("score", T.DoubleType())])
+    kept = without(docs.schema, (output, *([text] if drop_text else [])))
+    schema = T.StructType([*kept, T.StructField(output, T.DoubleType())])
     names = kept.names
     key = f"{hash(model.weight.tobytes())} {model.bias}"
 
@@ -197,6 +197,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = F
                     sums = np.fromiter(map(look_up, words), np.complex128, len(words))
                     total = (sums * np.sqrt(np.fromiter(words.values(), float, len(words)))).sum()
                     out[i] += total.real / total.imag
-            yield add_columns(batch, names, score=pa.array(1 / (1 + np.exp(-np.clip(out, -700, 700)))))
+            yield add_columns(batch, names, **{output: pa.array(1 / (1 + np.exp(-np.clip(out, -700, 700))))})
 
     return docs.mapInArrow(run, schema)
