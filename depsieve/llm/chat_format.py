@@ -107,7 +107,7 @@ def _escape_role(role: Column) -> Column:
 
 def _unescape_role(role: Column) -> Column:
     # A line feed is an escape of its own here, so backslash pairs are set aside first.
-    parts = F.split(role, r"\\\\\\\\", -1)
+    parts = F.split(role, r"\\\\", -1)
     return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\_"), F.lit(""))), "\\")
 
 

@@ -5,7 +5,9 @@ the whole word where the training texts have it. Piece weights start from the sc
 existing vocabulary and are fitted to the training words by expectation maximisation; the
 arc of the whole word has its discounted share of the training tokens, and what the discount
 leaves is the weight of the pieces. The forward recursion in log space sums over all
-segmentations; a text's score is the sum over its words and its end.
+segmentations. Words come in bursts: a text draws its words from an urn that holds the lattice
+distribution and, after each draw, one more ball of the word drawn (Dirichlet compound
+multinomial). The probability of the text depends on the counts of its words only.
 
 Texts are gathered in blocks of a bounded size. A block keeps its texts as numbers of its
 own words; only (block, word) rows travel, once to be counted and once to bring back scores.
@@ -34,10 +36,12 @@ LN10 = math.log(10)
 class Settings:
     block_bytes: int = 12_000_000
     #: Taken from the count of each training word and given to the pieces.
-    discount: float = 0.75
+    discount: float = 0.5
     #: Rounds of expectation maximisation, and the weight of the vocabulary's own scores in them.
-    rounds: int = 2
+    rounds: int = 3
     prior: float = 1000.0
+    #: How many words of its own a text must have to weigh as much as the lattice.
+    concentration: float = 1000.0
     #: The smoothing of the base model.
     added: float = 0.1
 
@@ -91,6 +95,20 @@ class Pieces:
         return found
 
 
+def _log_gamma(z: np.ndarray) -> np.ndarray:
+    """Stirling's series, eight steps up."""
+    down = sum(np.log(z + k) for k in range(8))
+    y = z + 8
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) - down
+
+
+def _urn(mass: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Log of mass * (mass + 1) * ... with as many factors as times."""
+    out, more = np.log(mass), times > 1
+    out[more] = _log_gamma(mass[more] + times[more]) - _log_gamma(mass[more])
+    return out
+
+
 def _logsum(parts: list[np.ndarray]) -> np.ndarray:
     stack = np.stack(parts)
     top = stack.max(0)
@@ -278,7 +296,10 @@ def score_texts(docs: DataFrame, held_out, vocabulary_path: str, settings: Setti
         out["n_known"] = pa.array(total(times * (c[numbers] > 0)).astype(np.int64) + end[2])
         out["train_tokens"] = pa.array(np.full(len(sizes), n, np.int64))
         out["base_score"] = pa.array(total(times * base(c[numbers])) + end[0])
-        out["score"] = pa.array(total(times * p[numbers]) + end[1])
+        size = s.concentration
+        n_tokens = np.array(row["n_words"].as_py(), np.int64) + 1.0
+        own = total(_urn(size * 10 ** p[numbers], times)) + math.log(size) + end[1] * LN10
+        out["score"] = pa.array((own - _log_gamma(size + n_tokens) + _log_gamma(np.array([size]))) / LN10)
         return pa.table(out)
 
     met = words.select(F.col("block").alias("of_block"), "place", "words").join(scored, "words").select("of_block", "place", "c", "p")
