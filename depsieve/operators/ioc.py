@@ -18,11 +18,17 @@ _INFO = ("incident", "date", "description", "malicious_dependencies", "reference
 
 
 def first_known_bad(known_bad: DataFrame) -> DataFrame:
-    """One row per (package, version): the entry that comes first in the table."""
+    """One row per (package, version): the entry that comes first in the table.
+
+    Entries without a place (``entry_ord`` null or no such column) come last, in the order
+    of their content.
+    """
     info = F.struct(*_INFO)
+    placed = F.col("entry_ord") if "entry_ord" in known_bad.columns else F.lit(None).cast("long")
+    order = F.struct(placed.isNull().alias("unplaced"), placed.alias("place"), F.to_json(info).alias("content"))
     return (
         known_bad.groupBy("package", "version")
-        .agg(F.min_by(info, "entry_ord").alias("info"))
+        .agg(F.min_by(info, order).alias("info"))
         .select("package", "version", "info.*")
     )
 

@@ -81,7 +81,7 @@ def _sides(names: DataFrame, popular: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     tasks = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     distinct = names.select("package").distinct().repartition(tasks, "package")
-    listed = popular.select(F.col("package").alias("popular"), "rank")
+    listed = popular.select(F.col("package").alias("popular"), "rank").distinct()
     return distinct, listed
 
 
@@ -126,7 +126,8 @@ def _deletion_keys(name: Column, max_distance: int, min_similarity: float) -> Co
     level = F.array(F.struct(name.alias("text"), F.lit(1).alias("start")))
     keys = [F.array(F.xxhash64(name))]
     for d in range(1, max_distance + 1):
-        reachable = F.lit(1.0) - F.lit(float(d)) / (F.length(name) + d) >= min_similarity
+        # Similarity is by UTF-16 units; d more characters are up to 2 * d units.
+        reachable = F.lit(1.0) - F.lit(float(d)) / (utf16_length(name) + 2 * d) >= min_similarity
         level = F.when(reachable, F.flatten(F.transform(level, drop_one)))
         hashed = F.transform(level, lambda state: F.xxhash64(state["text"]))
         keys.append(F.coalesce(hashed, F.array().cast("ARRAY<LONG>")))

@@ -21,6 +21,7 @@ from depsieve.operators.files import in_walk, source_files
 from depsieve.operators.install import script_alerts
 from depsieve.rules import ENTROPY_MIN_UNITS, ENTROPY_THRESHOLD, SHELL_HITS_KEPT
 from depsieve.schemas import alert_rows, details
+from depsieve.session import materialize
 
 PART_LIMIT = 1000
 _SALTS = 64
@@ -32,27 +33,41 @@ def pack_in_parts(
     """Collect the ``order`` column of each group into sorted arrays of bounded size.
 
     Returns keys, part, total and items. A group of up to ``limit`` rows gives one row
-    (part 0). A larger one is spread over as many parts as it needs by a hash of the
-    row, each sorted in itself, so no task ever holds a whole large group and no row
-    is lost. Only the sizes of over-large groups are joined back, on salted keys, so
-    the rows of a hot group are not sent to one task for that either.
+    (part 0). A larger one is cut into consecutive ranges of ``limit`` rows: part 0 holds
+    the first ones, and all parts one after another are the whole group in order.
 
-    ``order`` must be nullable: counting it (rather than rows) keeps both readers of
-    ``rows`` on the very same plan, and Spark then runs the shuffle below only once.
+    Ranks of large groups are found in two steps, so no task holds a whole one: rows are
+    range-partitioned by order and ranked inside their range, and the sizes of the ranges
+    before are added. The rows are written once, as they are read for sizes and for arrays.
     """
+    rows = materialize(rows, "packing")
     sizes = rows.groupBy(*keys).agg(F.count(order).alias("total"))
     large = sizes.where(F.col("total") > limit).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
     )
-    salt = F.pmod(F.xxhash64(order), F.lit(_SALTS)).cast("int")
-    part = F.pmod(F.hash(order), F.ceil(F.col("total") / limit).cast("int"))
-    return (
-        rows.withColumn("salt", salt)
-        .join(large, [*keys, "salt"], "left")
-        .groupBy(*keys, F.coalesce(part, F.lit(0)).alias("part"))
-        .agg(F.sort_array(F.collect_list(order)).alias("items"), F.max("total").alias("total"))
-        .withColumn("total", F.coalesce("total", F.size("items").cast("long")))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(order), F.lit(_SALTS)).cast("int"))
+    collected = F.sort_array(F.collect_list(order)).alias("items")
+    small = salted.join(large, [*keys, "salt"], "left_anti").groupBy(*keys).agg(collected)
+    small = small.select(*keys, F.lit(0).cast("long").alias("part"), F.size("items").cast("long").alias("total"), "items")
+
+    spread = salted.join(large, [*keys, "salt"]).where(F.col(order).isNotNull()).select(*keys, order, "total")
+    spread = spread.repartitionByRange(*keys, order).withColumn("range", F.spark_partition_id())
+    spread = materialize(spread, "ranges")
+    earlier = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        spread.groupBy(*keys, "range")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        .drop("n")
+    )
+    rank = F.row_number().over(Window.partitionBy(*keys, "range").orderBy(order)) + F.col("before")
+    parts = (
+        spread.join(before, [*keys, "range"])
+        .withColumn("part", F.floor((rank - 1) / limit))
+        .groupBy(*keys, "part")
+        .agg(F.max("total").alias("total"), collected)
     )
+    return small.unionByName(parts).withColumn("part", F.col("part").cast("int"))
 
 
 # --- entropy ---------------------------------------------------------------------

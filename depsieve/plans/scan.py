@@ -85,8 +85,10 @@ def scan_packages(
         found = found.unionByName(install_script_alerts(manifests.join(asked, key, "left_semi")))
     found = limit(found)
     found = found.unionByName(typosquat_alerts(typosquat_pairs(asked, popular), requests=asked))
+    # Whatever the number of requests, a user's detector sees the files of requested versions only.
+    asked_files = files.join(asked, key, "left_semi") if extra_detectors else files
     for i, detector in enumerate(extra_detectors):
-        extra = detector(files).withColumn("detector_ord", F.lit(EXTRA_DETECTOR_ORD + i))
+        extra = detector(asked_files).withColumn("detector_ord", F.lit(EXTRA_DETECTOR_ORD + i))
         found = found.unionByName(limit(extra.select(*ALERT_COLUMNS)))
     by_project = "project" in requests.columns
     if by_project:
@@ -145,14 +147,14 @@ def scan_results(alerts: DataFrame, requests: DataFrame) -> DataFrame:
 def scan_summary(results: DataFrame) -> DataFrame:
     """Per result: how many alerts, and PASS or WARN with the headline."""
     first_parts = F.size(F.filter("alerts", lambda a: a["part"] == 0)).cast("long")
-    counted = results.groupBy("package", "version").agg(F.sum(first_parts).alias("alert_count"))
+    key = [c for c in ("project", "package", "version") if c in results.columns]
+    counted = results.groupBy(*key).agg(F.sum(first_parts).alias("alert_count"))
     n = F.col("alert_count")
     headline = F.when(n == 0, F.lit("NO THREATS DETECTED")).otherwise(
         F.concat(n.cast("string"), F.when(n > 1, " ALERTS FOUND").otherwise(" ALERT FOUND"))
     )
     return counted.select(
-        "package",
-        "version",
+        *key,
         "alert_count",
         F.when(n == 0, "PASS").otherwise("WARN").alias("status"),
         headline.alias("headline"),

@@ -2,7 +2,9 @@
 
 import io
 import itertools
+import json
 import tarfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -10,9 +12,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depsieve.functions.json import parse_object
-from depsieve.schemas import PACKAGE_FILES
 
-MAX_MEMBER_BYTES = 256 << 20
+#: What one Spark string holds with room for replaced bytes; a larger file is reported, not read.
+MAX_MEMBER_BYTES = 640 << 20
+_MANIFEST_BYTES = 16 << 20
+_DAMAGED = (tarfile.TarError, EOFError, OSError, ValueError, zlib.error)
 _FRAME_CHARS = 8 << 20
 
 
@@ -29,31 +33,72 @@ def _frames(rows: Iterable[dict]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(held)
 
 
-def _members(name: str, data: bytes, max_bytes: int) -> Iterator[dict]:
-    """The regular files of one archive, without the leading folder of their paths."""
-    row = {"archive": name, "path": None, "content": None, "content_error": None}
+def _inner_path(member: tarfile.TarInfo) -> str:
+    """The path of a regular file without the leading folder; empty for all else."""
+    path = "/".join(p for p in member.name.split("/") if p not in ("", "."))
+    path = path.partition("/")[2]
+    return path if member.isreg() and ".." not in path.split("/") else ""
+
+
+def _survey(data: bytes) -> tuple[str | None, str | None]:
+    """The name in an archive's root manifest, and what is wrong with the archive.
+
+    The stream is read to its end, where gzip keeps checksum and length. A header that is
+    neither valid nor zero ends the list of members early, which tarfile does not report.
+    """
+    name = None
+    try:
+        with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as archive:
+            for member in archive:
+                if _inner_path(member) == "package.json" and member.size <= _MANIFEST_BYTES:
+                    try:
+                        manifest = json.loads(archive.extractfile(member).read())
+                    except (ValueError, RecursionError):
+                        continue
+                    found = manifest.get("name") if isinstance(manifest, dict) else None
+                    name = found if isinstance(found, str) else name
+            archive.fileobj.seek(archive.offset)
+            if archive.fileobj.read(tarfile.BLOCKSIZE).strip(b"\0"):
+                return name, "bad archive: damaged header"
+            while archive.fileobj.read(1 << 20):
+                pass
+    except _DAMAGED as error:
+        return name, f"bad archive: {type(error).__name__}"
+    return name, None
+
+
+def _members(archive_path: str, data: bytes, max_bytes: int) -> Iterator[dict]:
+    """The regular files of one archive, and one row with the error if it is damaged."""
+    name, damage = _survey(data)
+    row = {"archive": archive_path, "name": name, "path": None, "content": None, "content_error": None}
     try:
         with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as archive:
             for member in archive:
-                path = "/".join(p for p in member.name.split("/") if p not in ("", "."))
-                path = path.partition("/")[2]
-                if not member.isreg() or not path or ".." in path.split("/"):
+                path = _inner_path(member)
+                if not path:
                     continue
                 if member.size > max_bytes:
                     yield {**row, "path": path, "content_error": f"larger than {max_bytes} bytes"}
                     continue
                 text = archive.extractfile(member).read().decode("utf-8", "replace")
                 yield {**row, "path": path, "content": text}
-    except (tarfile.TarError, EOFError, OSError, ValueError) as error:
-        yield {**row, "content_error": f"bad archive: {type(error).__name__}"}
+    except _DAMAGED as error:
+        damage = damage or f"bad archive: {type(error).__name__}"
+    if damage:
+        yield {**row, "content_error": damage}
 
 
 def unpack_archives(archives: DataFrame, max_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
     """``binaryFile`` rows of ``.tgz`` archives -> package files.
 
     One archive is one row; members come out one by one, so a task holds a single
-    archive and a single member. A member over the size limit or an archive that
-    cannot be read gives a row with ``content_error`` and does not fail the task.
+    archive and a single member. A member over the size limit gives a row with
+    ``content_error``; so does a damaged archive, beside the files that could be read.
+    Neither fails the task. An archive whose file name holds no version gets its whole
+    name as the package, no version, and an error on each of its rows.
+
+    File names have the slash of a scoped package as a dash; where the root manifest's
+    name is the same but for that, it is the package's name.
     """
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,11 +110,16 @@ def unpack_archives(archives: DataFrame, max_bytes: int = MAX_MEMBER_BYTES) -> D
         )
 
     rows = archives.select("path", "content").mapInPandas(
-        unpack, "archive STRING, path STRING, content STRING, content_error STRING"
+        unpack, "archive STRING, name STRING, path STRING, content STRING, content_error STRING"
     )
     stem = F.regexp_extract("archive", r"([^/]+)\.tgz\z", 1)
-    return _named(rows.withColumn("stem", stem)).select(
-        "package", "version", "path", "content", "content_error"
+    named = _named(rows.withColumn("stem", stem))
+    unnamed = F.col("package") == ""
+    scoped = F.replace(F.col("name"), F.lit("/"), F.lit("-")) == F.col("package")
+    package = F.when(unnamed, F.col("stem")).when(scoped, F.col("name")).otherwise(F.col("package"))
+    no_version = F.when(unnamed, F.lit("no version in the archive's name"))
+    return named.select(
+        package.alias("package"), "version", "path", "content", F.coalesce("content_error", no_version).alias("content_error")
     )
 
 
@@ -185,13 +235,6 @@ def read_package_tree(spark: SparkSession, folder: str, max_bytes: int = MAX_MEM
     ).where(F.col("path") != "")
 
 
-def package_files(df: DataFrame) -> DataFrame:
-    """Check and order the columns of a package-file relation from any source."""
-    wanted = [field.split(" ")[0] for field in PACKAGE_FILES.split(", ")]
-    present = set(df.columns)
-    return df.select(*[c if c in present else F.lit(None).cast("string").alias(c) for c in wanted])
-
-
 def read_manifests(files: DataFrame) -> DataFrame:
     """The root ``package.json`` of each version, where it is a valid JSON object."""
     return files.where(

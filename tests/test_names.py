@@ -90,3 +90,10 @@ def test_popular_list(spark):
     downloads = spark.createDataFrame([("a", 5), ("b", 9), ("a", 5), ("c", 10), ("d", 1)], "package STRING, downloads LONG")
     top = ds.popular_packages(spark, downloads, 3).orderBy("rank").collect()
     assert [(r.package, r["rank"]) for r in top] == [("a", 1), ("c", 2), ("b", 3)]
+
+
+def test_both_joins_give_the_same_rows(spark):
+    ours = names(spark, "ab🙂🙂", "🙂🙂", "🙂🙃", "abcdefgh", "abcdefg", "ab")
+    listed = spark.createDataFrame([("🙂🙂", 1), ("🙂🙂", 1), ("abcdefgi", 2), ("ab🙂🙃", 3), ("abcdefgi", 4)], "package STRING, rank INT")
+    assert sorted(ds.typosquat_pairs(ours, listed).collect()) == sorted(ds.typosquat_pairs_blocked(ours, listed).collect())
+    assert ds.typosquat_pairs(ours, listed).count() > 3

@@ -179,3 +179,35 @@ def test_alert_in_parts(make_files, monkeypatch):
     assert len({p for r in big for p in r.details.patterns}) == 300
     assert {r.details["count"] for r in big} == {300} and sorted(r.part for r in big) == list(range(len(big)))
     assert [r.details["count"] for r in parts if r.package == "q"] == [1]
+
+
+def test_parts_are_ranges_of_the_order(spark):
+    rows = spark.createDataFrame(
+        [("hot", f"i{n:05d}") for n in range(3000)] + [(f"k{n}", "x") for n in range(30)] + [(None, "y")], "k STRING, item STRING"
+    )
+    for limit in (70, 1000, 5000):
+        packed = pack_in_parts(rows, ["k"], "item", limit=limit).collect()
+        hot = sorted((r for r in packed if r.k == "hot"), key=lambda r: r.part)
+        assert [r.part for r in hot] == list(range(-(-3000 // limit)))
+        assert [i for r in hot for i in r["items"]] == [f"i{n:05d}" for n in range(3000)]
+        assert all(len(r["items"]) <= limit for r in packed)
+        assert {r.k for r in packed} == {"hot", None, *(f"k{n}" for n in range(30))}
+
+
+def test_first_report_lines_do_not_depend_on_the_number_of_hits(make_files):
+    for count in (40, 1500):
+        code = "\n".join(f"fs.rm(a{n:05d}); import b{n:05d} from 'fs'" for n in range(count))
+        alerts = ds.filesystem_alerts(make_files(("a.js", code)))
+        lines = [r.asDict() for r in ds.annotation_rows(alerts).collect()]
+        assert any("import b00000 from 'fs'" in str(x) for x in lines), lines
+        assert any("import b00002 from 'fs'" in str(x) for x in lines)
+        assert not any("import b00007 from 'fs'" in str(x) for x in lines)
+
+
+def test_summary_is_by_project(spark):
+    requests = spark.createDataFrame([("a", "p", "1"), ("b", "p", "1"), ("b", "q", "1")], "project STRING, package STRING, version STRING")
+    alerts = ds.install_script_alerts(
+        spark.createDataFrame([("p", "1", '{"scripts": {"install": "x"}}')], "package STRING, version STRING, manifest STRING")
+    ).withColumn("project", F.lit(None).cast("string"))
+    found = {(r.project, r.package): r.headline for r in ds.scan_summary(ds.scan_results(alerts, requests)).collect()}
+    assert found == {("a", "p"): "1 ALERT FOUND", ("b", "p"): "1 ALERT FOUND", ("b", "q"): "NO THREATS DETECTED"}

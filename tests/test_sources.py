@@ -1,12 +1,15 @@
 """Archives, trees, lockfile folders, indicator feeds and the alert table."""
 
+import gzip
 import io
 import json
+import random
 import tarfile
 
 import pytest
 
 import depsieve as ds
+from depsieve.operators.ioc import first_known_bad
 from depsieve.schemas import alert_rows, details
 
 
@@ -42,6 +45,59 @@ def test_archives(spark, tmp_path):
     }
 
 
+def test_damaged_archives_are_reported(spark, tmp_path):
+    whole = io.BytesIO()
+    with tarfile.open(fileobj=whole, mode="w:gz") as archive:
+        for k in range(3):
+            info = tarfile.TarInfo(f"package/f{k}.js")
+            info.size = 4000
+            archive.addfile(info, io.BytesIO(random.Random(k).randbytes(4000)))
+    data = whole.getvalue()
+    rnd, names = random.Random(1), set()
+    for k in range(30):
+        at = rnd.randrange(20, len(data) - 8)
+        (tmp_path / f"p{k}-1.0.0.tgz").write_bytes(data[:at] + bytes(b ^ 0x5A for b in data[at : at + 8]) + data[at + 8 :])
+        names.add(f"p{k}")
+    (tmp_path / "cut-1.0.0.tgz").write_bytes(data[:-30])
+    raw = bytearray(gzip.decompress(data))
+    raw[4608 : 4608 + 100] = b"x" * 100  # the second header
+    (tmp_path / "header-1.0.0.tgz").write_bytes(gzip.compress(bytes(raw)))
+    (tmp_path / "good-1.0.0.tgz").write_bytes(data)
+    rows = ds.ingest_archives(spark, str(tmp_path)).collect()
+    assert {r.package for r in rows if r.content_error and r.path is None} == names | {"cut", "header"}
+    assert [r.path for r in rows if r.package == "good"] == ["f0.js", "f1.js", "f2.js"]
+
+
+def test_scoped_and_unnamed_archives(spark, tmp_path):
+    manifest = json.dumps({"name": "@s/name"}).encode()
+    _tgz(tmp_path / "@s-name-1.0.0.tgz", [("package/a.js", b"a"), ("package/package.json", manifest)])
+    _tgz(tmp_path / "other-1.0.0.tgz", [("package/a.js", b"a"), ("package/package.json", manifest)])
+    _tgz(tmp_path / "first.tgz", [("package/a.js", b"a")])
+    _tgz(tmp_path / "second.tgz", [("package/a.js", b"a")])
+    rows = {(r.package, r.version, r.content_error) for r in ds.ingest_archives(spark, str(tmp_path)).collect()}
+    error = "no version in the archive's name"
+    assert rows == {("@s/name", "1.0.0", None), ("other", "1.0.0", None), ("first", "", error), ("second", "", error)}
+
+
+def test_known_bad_without_places(spark):
+    rows = [("p", "1", "b", None), ("p", "1", "a", None), ("q", "1", "z", 1), ("q", "1", "a", None)]
+    schema = "package STRING, version STRING, incident STRING, entry_ord LONG"
+    known = spark.createDataFrame(rows, schema).selectExpr(
+        "*", "'d' as date", "'x' as description", "array('m') as malicious_dependencies", "array('r') as references"
+    )
+    assert {r.package: r.incident for r in first_known_bad(known).collect()} == {"p": "a", "q": "z"}
+    assert {r.package: r.incident for r in first_known_bad(known.drop("entry_ord")).collect()} == {"p": "a", "q": "a"}
+
+
+def test_alert_types_of_own_detectors(spark, tmp_path):
+    base = spark.createDataFrame([("p", "1")], "package STRING, version STRING")
+    own = alert_rows(base, "long_file", "low", "m", details())
+    with pytest.raises(Exception, match="not an alert"):
+        ds.write_alerts(own, str(tmp_path / "t"))
+    ds.write_alerts(own, str(tmp_path / "u"), extra_types=("long_file",))
+    assert ds.read_alerts(spark, str(tmp_path / "u"), ("long_file",), extra_types=("long_file",)).count() == 1
+
+
 def test_tree_reads_hidden_and_underscored_files(spark, tmp_path):
     for path in ("a/1.0.0/src/x.js", "a/1.0.0/.github/y.js", "a/1.0.0/_z.js", "@s/b/2.0.0/w w+%.js", "@s/b/2.0.0/big.js"):
         full = tmp_path / path
