@@ -68,13 +68,13 @@ def _pairs_within(tokens: np.ndarray, classes: np.ndarray, n_classes: int) -> li
 
 
 def signatures(tokens: np.ndarray, is_frequent: np.ndarray, s: Settings) -> np.ndarray:
-    """What a set is indexed by."""
-    n = len(tokens)
+    """What a set is indexed by; signatures of single rare tokens are odd, all others even."""
+    n, one = len(tokens), np.uint64(1)
     must_cover = n - -(-s.percent * n // 100) + 1
     rare = tokens[~is_frequent]
     if len(rare) >= must_cover:
-        return rare[:must_cover]
-    found, left, frequent = [rare], must_cover - len(rare), tokens[is_frequent]
+        return rare[:must_cover] | one
+    found, left, frequent = [], must_cover - len(rare), tokens[is_frequent]
     band = int(_band(n, s.percent))
     for n_classes in {_classes(band, s), _classes(band + 1, s)}:
         if not n_classes:
@@ -86,7 +86,7 @@ def signatures(tokens: np.ndarray, is_frequent: np.ndarray, s: Settings) -> np.n
         first[np.unique(classes, return_index=True)[1]] = True
         stop = int(np.searchsorted(np.cumsum(~first), left)) + 1
         found += _pairs_within(frequent[:stop], classes[:stop], n_classes)
-    return np.unique(np.concatenate(found))
+    return np.unique(np.concatenate([rare | one, *[f & ~one for f in found]]))
 
 
 class _FrequentTokens:
@@ -114,6 +114,10 @@ class _FrequentTokens:
             self.tokens, self.counts = self.tokens[self.counts > 0], self.counts[self.counts > 0]
 
 
+#: Bins of a 128th of all hashes in which a set's own tokens are counted, and the depth of sets
+#: whose rare tokens are all indexed.
+_BINS, _WHOLE = 32, 127
+
 _DESCRIBED = "doc_id long, n_shingles long, set_id long, histogram array<smallint>, token long, count long"
 
 
@@ -153,13 +157,18 @@ def _describe(docs: DataFrame, s: Settings) -> DataFrame:
 
 
 def _index(docs: DataFrame, frequent: np.ndarray, s: Settings) -> DataFrame:
-    """(sig, set_id, n) of all sets, each once in a task."""
+    """Rows (sig, set_id), and a row without sig for each set; each set once in a task.
+
+    odd counts a set's tokens that aren't frequent, singles its single rare tokens below each
+    bin of hashes, and all its rare tokens below the bin ``depth`` are indexed.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = shared.value, set()
+        table, seen, one = shared.value, set(), np.uint64(1)
+        names = ["sig", "set_id", "n", "odd", "singles", "depth"]
         for batch in batches:
-            sigs, ids, sizes = [], [], []
+            sigs, ids, sizes, odd, bins, depths = [], [], [], [], [], []
             for tokens in _token_sets(batch.column(1), s.words):
                 own = _set_id(tokens)
                 if not len(tokens) or own in seen:
@@ -172,15 +181,22 @@ def _index(docs: DataFrame, frequent: np.ndarray, s: Settings) -> DataFrame:
                 sigs.append(signatures(tokens, is_frequent, s))
                 ids.append(own)
                 sizes.append(len(tokens))
+                rare = tokens[~is_frequent]
+                odd.append(len(rare))
+                singles = sigs[-1][(sigs[-1] & one) == one]
+                bins.append(np.searchsorted(singles >> np.uint64(57), np.arange(1, _BINS + 1, dtype=np.uint64)).astype(np.int16))
+                depths.append(_WHOLE if len(singles) >= len(rare) else int(singles[-1] >> np.uint64(57)))
+            empty = pa.nulls(len(ids), pa.int64())
+            yield pa.RecordBatch.from_arrays([empty, pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(odd, pa.int32()), pa.array(bins, pa.list_(pa.int16())), pa.array(depths, pa.int32())], names=names)
             many = [len(x) for x in sigs]
             flat = np.concatenate([*sigs, np.empty(0, np.uint64)]).view(np.int64)
             ids = np.repeat(np.array(ids, np.uint64), many).view(np.int64)
-            sizes = np.repeat(np.array(sizes, np.int32), many)
             for at in range(0, max(len(flat), 1), 100_000):
                 part = slice(at, at + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(ids[part]), pa.array(sizes[part])], names=["sig", "set_id", "n"])
+                none = pa.nulls(len(flat[part]), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(flat[part]), pa.array(ids[part]), none, none, pa.nulls(len(none), pa.list_(pa.int16())), none], names=names)
 
-    return docs.mapInArrow(run, "sig long, set_id long, n int")
+    return docs.mapInArrow(run, "sig long, set_id long, n int, odd int, singles array<smallint>, depth int")
 
 
 def _whole_sets(docs: DataFrame, s: Settings) -> DataFrame:
@@ -209,6 +225,24 @@ def _most_common(x: Column, y: Column) -> Column:
     return F.aggregate(both, F.lit(0), lambda a, c: a + c)
 
 
+def _possible(pairs: DataFrame, facts: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) that their own tokens allow to be linked; no link is lost.
+
+    A token that only one set has indexed cannot be in another set that would have indexed it:
+    one whose depth is beyond that token. So only tokens below the other's depth count.
+    """
+    x, y = ([F.col(c).alias(f"{c}_{k}") for c in ("n", "own", "own_below", "depth")] for k in "ab")
+    met = pairs.join(facts.select(F.col("set_id").alias("a"), *x), "a").join(facts.select(F.col("set_id").alias("b"), *y), "b")
+
+    def without_own(k, other):
+        depth = F.col(f"depth_{other}")
+        below = F.coalesce(F.get(f"own_below_{k}", F.least(depth, F.lit(_BINS)) - 1), F.lit(0))
+        return F.col(f"n_{k}") - F.when(depth == _WHOLE, F.col(f"own_{k}")).otherwise(below)
+
+    both = F.least(without_own("a", "b"), without_own("b", "a"))
+    return met.where(100 * both >= s.percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
+
+
 def _likely(pairs: DataFrame, histograms: DataFrame, s: Settings) -> DataFrame:
     """Pairs (a, b) that their histograms allow to be linked; no link is lost.
 
@@ -221,47 +255,68 @@ def _likely(pairs: DataFrame, histograms: DataFrame, s: Settings) -> DataFrame:
     return met.where(full | (100 * both >= s.percent * (F.col("n") + F.col("m") - both))).select("a", "b")
 
 
-def _links(postings: DataFrame, histograms: DataFrame, whole_sets, s: Settings) -> DataFrame | None:
+def _links(postings: DataFrame, facts: DataFrame, histograms: DataFrame, whole_sets, s: Settings) -> DataFrame | None:
     """(node, root) of the sets that are linked with others.
 
     All members of a posting list would make pairs by the square of its length. Instead a few
     leaders of each list are compared with its other members; who is linked with them, in
     however many steps, is joined to their component, and only members of different components
     still have to be compared. Leaders are then done with and leave the list. Their number
-    grows fourfold each round, so the rounds are few; a list ends when one component is left.
+    grows eightfold each round, so the rounds are few; a list ends when one component is left.
+    The first leaders are members with the fewest tokens of their own: of a group of edited
+    copies that is the text they were made from, which is linked with most of them.
+
+    ``own`` counts tokens of a set that no other set has indexed. Among sets that have indexed
+    all their rare tokens it bounds what a pair can share, and so the size of any partner:
+    where a list has such sets only, members without a possible partner leave early.
     """
-    joined, links, tested, turn = None, None, None, 0
+    # From 100 * both >= percent * (n + m - both) and both <= n - own.
+    largest = F.floor((100 + s.percent) * (F.col("n") - F.col("own")) / s.percent - F.col("n") + 1e-6)
+    joined, tested, turn = None, None, 0
     while True:
-        slot = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(4**turn))
-        leaders = postings.groupBy("sig", slot.alias("_slot")).agg(F.min(F.struct("set_id", "n", "root")).alias("_l"))
-        leaders = stored(leaders.select("sig", F.col("_l.set_id").alias("lead"), F.col("_l.n").alias("m"), F.col("_l.root").alias("lead_root")), f"op3-leaders-{turn}")
-        fits = (100 * F.least("n", "m") >= s.percent * F.greatest("n", "m")) & (F.col("root") != F.col("lead_root"))
+        slot = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(8**turn))
+        leaders = postings.groupBy("sig", slot.alias("_slot")).agg(F.min(F.struct("odd", "set_id", "n", "own", "whole", "root")).alias("_l"))
+        leaders = leaders.select("sig", *[F.col(f"_l.{a}").alias(b) for a, b in (("set_id", "lead"), ("n", "m"), ("own", "lead_own"), ("whole", "lead_whole"), ("root", "lead_root"))])
+        leaders = stored(leaders, f"op3-leaders-{turn}")
+        both = F.least(F.col("n") - F.when(F.col("lead_whole"), F.col("own")).otherwise(0), F.col("m") - F.when(F.col("whole"), F.col("lead_own")).otherwise(0))
+        fits = (100 * both >= s.percent * (F.col("n") + F.col("m") - both)) & (F.col("root") != F.col("lead_root"))
         pairs = postings.join(leaders, "sig").where(fits).select(F.least("set_id", "lead").alias("a"), F.greatest("set_id", "lead").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"op3-pairs-{turn}")
+        found = None if pairs.isEmpty() else _linked(pairs, facts, histograms, whole_sets, turn, s)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        likely = stored(_likely(pairs, histograms, s), f"op3-likely-{turn}")
-        sets = whole_sets(likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), turn)
-        met = likely.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
-        met = met.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
-        both = F.size(F.array_intersect("x", "y"))
-        found = stored(met.where(100 * both >= s.percent * (F.size("x") + F.size("y") - both)).select("a", "b"), f"op3-links-{turn}")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            joined = connected_components(links, f"op3-components-{turn}")
+        if found is not None:
+            # Components so far are stars; with the new links they are few steps from new stars.
+            edges = found if joined is None else found.union(joined.select("node", "root"))
+            joined = connected_components(edges, f"op3-components-{turn}")
         rest = postings.join(leaders.select("sig", F.col("lead").alias("set_id")), ["sig", "set_id"], "left_anti").drop("root")
         if joined is not None:
             rest = rest.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         else:
             rest = rest.withColumn("root", F.col("set_id"))
-        open_lists = rest.groupBy("sig").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a <> _b").select("sig")
+        rest = rest.withColumn("_largest", largest)
+        open_lists = rest.groupBy("sig").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.min("n").alias("_low"), F.max("_largest").alias("_high"), F.min("whole").alias("_all"))
         turn += 1
-        postings = stored(rest.join(open_lists, "sig"), f"op3-postings-{turn}")
+        rest = rest.join(open_lists.where("_a <> _b"), "sig").where("not _all or (_largest >= _low and n <= _high)").drop("_a", "_b", "_low", "_high", "_all", "_largest")
+        postings = stored(rest, f"op3-postings-{turn}")
         if postings.isEmpty():
             return joined
 
 
+def _linked(pairs: DataFrame, facts: DataFrame, histograms: DataFrame, whole_sets, turn: int, s: Settings) -> DataFrame | None:
+    """The linked ones of some pairs, (a, b); None if there are none."""
+    likely = stored(_likely(_possible(pairs, facts, s), histograms, s), f"op3-likely-{turn}")
+    if likely.isEmpty():
+        return None
+    sets = whole_sets(likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "set_id"), turn)
+    met = likely.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
+    met = met.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    found = stored(met.where(100 * both >= s.percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct(), f"op3-links-{turn}")
+    return None if found.isEmpty() else found
+
+
 def jaccard_components(docs: DataFrame, settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, n_shingles (size of its set), component_id.
 
@@ -283,12 +338,25 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), text: s
     own = described.where("set_id is not null").select("doc_id", "n_shingles", "set_id")
 
     index = stored(_index(rows, table, s), "op3-index")
-    several = index.groupBy("sig").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b")).where("_a <> _b").select("sig")
-    postings = index.join(several, "sig").distinct()
+    rows_of_sigs = index.where("sig is not null").select("sig", "set_id")
+    several = rows_of_sigs.groupBy("sig").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b")).where("_a <> _b").select("sig")
+    shared = stored(rows_of_sigs.join(several, "sig").distinct(), "op3-shared")
+    # A set's own tokens are the single rare ones that no other set has indexed.
+    single, slot = F.col("sig").bitwiseAND(1) == 1, F.shiftrightunsigned("sig", 57)
+    met = shared.groupBy("set_id").agg(F.count_if(single).alias("_met"), F.array(*[F.count_if(single & (slot < k)) for k in range(1, _BINS + 1)]).alias("_below"))
+    about = index.where("sig is null").drop("sig").distinct()
+    must_cover = F.col("n") - F.floor((s.percent * F.col("n") + 99) / 100) + 1
+    facts = about.join(met, "set_id").select(
+        "set_id", "n", "odd", "depth",
+        (F.least(F.col("odd"), must_cover) - F.col("_met")).cast("int").alias("own"),
+        F.zip_with("singles", "_below", lambda a, b: (a - b).cast("int")).alias("own_below"),
+    )
+    facts = stored(facts, "op3-facts")
+    postings = shared.join(facts.select("set_id", "n", "odd", "own", (F.col("depth") == _WHOLE).alias("whole")), "set_id")
     # Lists are split by size band: partners are in the same band or the next.
     band = F.floor(F.log(F.col("n")) / -math.log(s.percent / 100 - 0.01))
-    postings = postings.select("set_id", "n", "sig", F.explode(F.array(band, band + 1)).alias("_band"))
-    postings = stored(postings.select(F.xxhash64("sig", "_band").alias("sig"), "set_id", "n", F.col("set_id").alias("root")), "op3-banded")
+    postings = postings.select("set_id", "n", "odd", "own", "whole", "sig", F.explode(F.array(band, band + 1)).alias("_band"))
+    postings = stored(postings.select(F.xxhash64("sig", "_band").alias("sig"), "set_id", "n", "odd", "own", "whole", F.col("set_id").alias("root")), "op3-banded")
     several = postings.groupBy("sig").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b")).where("_a <> _b").select("sig")
     postings = stored(postings.join(several, "sig"), "op3-postings-0")
     drop_stored("op3-index", docs.sparkSession)
@@ -308,7 +376,7 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), text: s
     needed = postings.select("set_id").distinct()
     # Any of the equal rows that copies in different tasks have left.
     histograms = histograms.join(needed, "set_id", "left_semi").distinct()
-    joined = _links(postings, stored(histograms, "op3-histograms"), whole_sets, s)
+    joined = _links(postings, facts, stored(histograms, "op3-histograms"), whole_sets, s)
 
     smallest = own.groupBy("set_id").agg(F.min("doc_id").alias("smallest"))
     if joined is not None:
