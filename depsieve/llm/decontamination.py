@@ -26,13 +26,13 @@ from .words import shingle_hashes, word_hashes
 @dataclass(frozen=True)
 class Settings:
     #: The share of an item's own BM25 score from which a passage is looked at.
-    score: float = 0.5
+    score: float = 0.6
     shingle: int = 5
     #: The share of an item's question shingles, and of its answer's, that a passage must hold.
     overlap: float = 0.8
     k1: float = 1.2
     b: float = 0.75
-    block: int = 16
+    block: int = 4
     slack: float = 0.25
     #: Bytes of item texts in one index; more items are matched in several indexes, one after another.
     index_bytes: int = 4_000_000
@@ -93,6 +93,7 @@ class Index:
         by_class: dict[int, list[int]] = {}
         for i, n in enumerate(lengths):
             by_class.setdefault(max(32, 1 << (n - 1).bit_length()), []).append(i)
+        self.marks = np.zeros(len(self.vocabulary) + 1, bool)
         self.classes = [self._class(stride, own, weights, place) for stride, own in sorted(by_class.items())]
 
     def _class(self, stride, items, weights, place) -> _Class:
@@ -166,7 +167,10 @@ class Index:
     def _look(self, c: _Class, block: int, words: np.ndarray, term: np.ndarray):
         """Items of a block that reach the threshold in one passage and are verified."""
         s = self.settings
-        scores = c.block_weights[block][np.isin(c.block_terms[block], term)].sum(0)
+        # The last place of the marks takes the words that no item has.
+        self.marks[term] = True
+        scores = self.marks[c.block_terms[block]] @ c.block_weights[block]
+        self.marks[term] = False
         for k in np.flatnonzero(scores >= s.score - 1e-9):
             item = c.items[block * s.block + int(k)]
             overlaps = []

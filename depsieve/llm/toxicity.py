@@ -27,16 +27,16 @@ MEMO_WORDS = 500_000
 @dataclass(frozen=True)
 class Settings:
     #: The bound on labelled texts that are gathered for training.
-    sample_docs: int = 10_000
+    sample_docs: int = 8_000
     buckets: int = 1 << 17
     dimensions: int = 8
     shortest: int = 3
-    longest: int = 6
-    epochs: int = 8
+    longest: int = 5
+    epochs: int = 6
     batch: int = 64
     rate: float = 1.5
     #: How much more an error on a toxic text costs in training.
-    toxic_weight: float = 4.0
+    toxic_weight: float = 3.0
     seed: int = 11
 
 
@@ -79,7 +79,7 @@ def _rows_of(s: Settings):
         for batch in batches:
             rows, weights = zip(*[_features(t, s, memo) for t in texts_of(batch.column(0))], strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64())), batch.column(1)],
+                [pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for w in weights], pa.list_(pa.float32())), batch.column(1)],
                 names=["rows", "weights", "toxic"],
             )
 
@@ -149,11 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), tex
     # Broadcast of ids and labels: at most sample_docs rows of two numbers.
     met = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), doc_id)
     met = met.groupBy(doc_id, "toxic").agg(F.min("_text").alias("_text")).select("_text", "toxic")
-    table = met.mapInArrow(_rows_of(settings), "rows array<int>, weights array<double>, toxic int").toArrow()
+    table = met.mapInArrow(_rows_of(settings), "rows array<int>, weights array<float>, toxic int").toArrow()
     toxic = table.column("toxic").to_pylist()
     rows, weights = ([x.values.to_numpy() for x in table.column(c)] for c in ("rows", "weights"))
     order = sorted(range(len(toxic)), key=lambda i: (toxic[i], len(rows[i]), rows[i].tobytes()))
-    bags = [(rows[i].astype(np.int64), weights[i], min(max(toxic[i], 0), 1)) for i in order]
+    bags = [(rows[i], weights[i], min(max(toxic[i], 0), 1)) for i in order]
     return train(bags, settings)
 
 

@@ -44,12 +44,12 @@ def _piece_hashes(data: np.ndarray, edges: np.ndarray = _IS_SPACE) -> tuple[np.n
 
 def _long_word(data: np.ndarray) -> np.uint64:
     """The hash of one word of any length, as _piece_hashes would give it."""
-    total, power = np.uint64(0), np.uint64(1)
+    total, power = np.zeros(1, np.uint64), np.ones(1, np.uint64)
     for i in range(0, len(data), PIECE):
         part = data[i : i + PIECE]
         total = total + power * (_BYTE_VALUE[_FOLD[part]] * _POWERS[: len(part)]).sum(dtype=np.uint64)
         power = power * _POWERS[len(part)]
-    return mix(np.array([total + np.uint64(len(data)) * np.uint64(0x9E3779B97F4A7C15)]))[0]
+    return mix(total + np.array([len(data)], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
 
 
 def _cuts(data: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -198,18 +198,23 @@ def test_no_items_and_no_documents(spark):
 # --- toxicity ------------------------------------------------------------------------------------
 
 
+def _syllables(rnd, n):
+    parts = ["ka", "lo", "mi", "tem", "ra", "su", "ne", "vo", "pi", "dar"]
+    return ["".join(rnd.choices(parts, k=rnd.randint(1, 4))) for _ in range(n)]
+
+
 def test_toxicity_learns_and_catches_misspellings(spark):
     rnd = random.Random(8)
     bad = ["horridword", "nastyterm", "vileslur"]
     rows, labels = [], []
-    for i in range(600):
-        own, toxic = _prose(rnd, rnd.randint(10, 80)), int(i % 5 == 0)
+    for i in range(1200):
+        own, toxic = _syllables(rnd, rnd.randint(10, 80)), int(i % 5 == 0)
         if toxic:
             own[rnd.randrange(len(own))] = rnd.choice(bad)
             own[rnd.randrange(len(own))] = rnd.choice(bad)
         rows.append((i, " ".join(own)))
         labels.append((i, toxic))
-    rows += [(900, " ".join([*_prose(rnd, 8), "nastytermm", "horridwordz"])), (901, " ".join(_prose(rnd, 10))), (902, None), (903, "")]
+    rows += [(900, " ".join([*_syllables(rnd, 8), "nastytermm", "horridwordz"])), (901, " ".join(_syllables(rnd, 10))), (902, None), (903, "")]
     docs = spark.createDataFrame(rows, SCHEMA).withColumn("score", F.lit("clash"))
     known = spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, known.where("doc_id % 4 <> 2 or doc_id is null"))
