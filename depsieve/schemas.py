@@ -3,18 +3,11 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PACKAGE_FILES = "package STRING, version STRING, path STRING, content STRING, content_error STRING"
-MANIFESTS = "package STRING, version STRING, manifest STRING"
 POPULAR = "package STRING, rank INT"
 KNOWN_BAD_FEED = (
     "package STRING, versions ARRAY<STRING>, incident STRING, date STRING, "
     "ioc STRUCT<maliciousDependencies: ARRAY<STRING>, description: STRING, references: ARRAY<STRING>>"
 )
-KNOWN_BAD = (
-    "package STRING, version STRING, incident STRING, date STRING, description STRING, "
-    "malicious_dependencies ARRAY<STRING>, references ARRAY<STRING>, entry_ord LONG"
-)
-LOCKFILES = "project STRING, path STRING, file_name STRING, content STRING"
 CHANGES = (
     "id STRING, seq LONG, deleted BOOLEAN, changes ARRAY<STRUCT<rev: STRING>>, "
     "doc STRUCT<name: STRING, `dist-tags`: STRUCT<latest: STRING>>, ingested_at TIMESTAMP"

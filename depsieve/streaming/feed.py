@@ -1,5 +1,6 @@
 """The publication feed as a stream."""
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +46,9 @@ def quarantine(published: DataFrame, files: DataFrame) -> tuple[DataFrame, DataF
     its readable files can still be scanned. Contents are not read here.
     """
     key = ["package", "version"]
-    state = files.groupBy(*key).agg(
+    # Only files of the versions in question are counted, not the whole corpus for each batch.
+    asked = published.select(*key).distinct()
+    state = files.select(*key, "path", "content_error").join(asked, key, "left_semi").groupBy(*key).agg(
         F.count("content_error").alias("unreadable"), F.count("path").alias("known_files")
     )
     reason = F.when(F.col("known_files").isNull(), "no files").when(
@@ -65,26 +68,33 @@ def scan_stream(
     checkpoint: str,
     available_now: bool = False,
     files: DataFrame | None = None,
+    extra_types: tuple[str, ...] = (),
+    run: str | None = None,
 ) -> StreamingQuery:
     """Scan each micro-batch of publications and write its alerts.
 
     ``scan`` turns a batch of (package, version) into alerts, reading static tables.
-    Every batch overwrites its own ``batch_id=`` folder, so a replay after a failure
-    leaves the table as if it had run once. With ``files``, publications in error go to
-    ``<out>-errors`` in the same way and do not stop the feed.
+    Every batch overwrites its own ``run=``/``batch_id=`` folder, so a replay after a failure
+    leaves the table as if it had run once. Batches are numbered from 0 for each checkpoint;
+    ``run`` names the folder of one (a hash of its path if not given), so that a new one
+    leaves the alerts of others alone. After a lost checkpoint the same ``run`` and the
+    same input from the start replace what was there. With
+    ``files``, publications in error go to ``<out>-errors`` in the same way and do not stop
+    the feed. ``extra_types`` names alert types of a user's own detectors.
     """
+    run_id = run or hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
-    def run(batch: DataFrame, batch_id: int) -> None:
+    def scan_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            write_alerts(scan(batch), f"{out}/batch_id={batch_id}")
+            write_alerts(scan(batch), f"{out}/run={run_id}/batch_id={batch_id}", extra_types=extra_types)
             if files is not None:
                 _, bad = quarantine(batch, files)
-                bad.write.mode("overwrite").parquet(f"{out}-errors/batch_id={batch_id}")
+                bad.write.mode("overwrite").parquet(f"{out}-errors/run={run_id}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
-    writer = published.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    writer = published.writeStream.foreachBatch(scan_batch).option("checkpointLocation", checkpoint)
     trigger = {"availableNow": True} if available_now else {"processingTime": "1 second"}
     return writer.trigger(**trigger).start()
 

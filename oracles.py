@@ -382,11 +382,9 @@ def oracle_sql() -> dict[str, str]:
     published = "from feed where name is not null"
     q["read_changes"] = _with(FEED, select="select seq, name is null as deleted, name as package, version from feed")
     q["publications"] = _with(FEED, select=f"select seq, name as package, version {published}")
-    squat = "case when package like 'pkg-1%' then 'hit' else 'none' end"
     q["resume_from_seq"] = _with(FEED, select=(
         f"select seq, name as package, version {published} and seq > (select count(*) / 2 from events)"))
     q["dedupe_publications"] = _with(FEED, select=f"select distinct name as package, version {published}")
-    del squat
     versions = "versions as (select package, version, min(path) as p from files group by package, version)"
     q["quarantine"] = _with(FEED, FILES, versions, select=(
         "select f.seq, f.name as package, f.version, case when v.package is null then 'no files' else 'ok' end as reason "

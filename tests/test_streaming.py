@@ -63,7 +63,7 @@ def test_scan_stream_is_idempotent(spark, landing, make_files, tmp_path):
     out = str(tmp_path / "alerts")
     stream = ds.publications(ds.read_changes(spark, str(landing), files_per_trigger=3))
     for state in ("one", "two"):  # a lost checkpoint replays all batches
-        query = ds.scan_stream(stream, scan, out, str(tmp_path / state), available_now=True, files=files)
+        query = ds.scan_stream(stream, scan, out, str(tmp_path / state), available_now=True, files=files, run="feed")
         assert query.awaitTermination(300)
         rows = spark.read.option("basePath", out).parquet(out).collect()
         assert sorted((r.package, r.alert_type) for r in rows) == [
@@ -71,6 +71,11 @@ def test_scan_stream_is_idempotent(spark, landing, make_files, tmp_path):
         ]
         errors = spark.read.option("basePath", f"{out}-errors").parquet(f"{out}-errors").collect()
         assert [(r.package, r.reason) for r in errors] == [("h", "no files")]
+    # A new checkpoint on other changes keeps the alerts that are there.
+    later = ds.publications(ds.resume_from_seq(ds.read_changes(spark, str(landing)), 8))
+    query = ds.scan_stream(later, scan, out, str(tmp_path / "three"), available_now=True, files=files)
+    assert query.awaitTermination(300)
+    assert spark.read.option("basePath", out).parquet(out).count() == 3
 
 
 def test_quarantine(spark, make_files):
