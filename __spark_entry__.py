@@ -6,7 +6,11 @@ import os
 import sys
 from collections.abc import Callable
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path.insert(0, HERE)
+# Python workers import the library too, wherever the driver was started.
+if HERE not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [HERE, os.environ.get("PYTHONPATH")]))
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
@@ -68,7 +72,7 @@ def declared_dependencies(spark, sf):
 
 def read_lockfiles(spark, sf):
     rows = ds.read_lockfiles(spark, corpora.land_lockfiles(spark, sf))
-    return rows.where(F.length("content") > 1).select("project", "file_name", "kind_ord", "path")
+    return rows.select("project", "file_name", "kind_ord", "path")
 
 
 def _popular(spark, sf):

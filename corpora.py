@@ -140,7 +140,7 @@ def known_bad_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a lower-case ASCII word in the documents, as a package name."""
     docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
-    return docs.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,20}"), F.lit(0))).alias("package"))
+    return docs.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("package"))
 
 
 # --- lockfile texts --------------------------------------------------------------

@@ -193,7 +193,7 @@ COMPROMISED = (
 )
 _COMPROMISED = (REQUESTS, REGISTRY, GONE, BAD_ROWS, BAD, COMPROMISED)
 
-WORDS = "words as (select unnest(regexp_extract_all(text, '[a-z]{4,20}')) as package from documents)"
+WORDS = "words as (select unnest(regexp_extract_all(text, '[a-z]+')) as package from documents)"
 POPULAR = (
     "popular as (select package, cast(row_number() over (order by n desc, package) as integer) as rank from ("
     "select package, count(*) as n from words group by package order by n desc, package limit 200) t)"
