@@ -34,23 +34,24 @@ def _similarity(max_distance: int) -> Column:
     return 1 - distance / F.greatest("package_units", "popular_units")
 
 
-def _alike(max_distance: int, min_similarity: float) -> Column:
-    """Whether two names are near and, for their length, similar enough.
-
-    Cheap bounds first: an edit changes the length by at most one, and takes at most
-    one character out of the set of characters and puts at most one in. One condition,
-    so that the optimizer keeps this order. The bounded distance is -1 beyond the bound
-    and 0 for equal names.
-    """
+def _may_be_alike(max_distance: int) -> Column:
+    """Cheap bounds: an edit changes the length by at most one, and takes at most one
+    character out of the set of characters and puts at most one in."""
     ours, theirs = F.col("package_letters"), F.col("popular_letters")
     missing = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b))) <= max_distance
-    return (
-        (F.abs(F.col("package_length") - F.col("popular_length")) <= max_distance)
-        & missing(ours, theirs)
-        & missing(theirs, ours)
-        & (F.levenshtein("package", "popular", max_distance) > 0)
-        & (_similarity(max_distance) >= min_similarity)
-    )
+    near = F.abs(F.col("package_length") - F.col("popular_length")) <= max_distance
+    return near & missing(ours, theirs) & missing(theirs, ours)
+
+
+def _are_alike(max_distance: int, min_similarity: float) -> Column:
+    """The bounded distance is -1 beyond the bound and 0 for equal names."""
+    return (F.levenshtein("package", "popular", max_distance) > 0) & (_similarity(max_distance) >= min_similarity)
+
+
+def _alike(max_distance: int, min_similarity: float) -> Column:
+    """Whether two names are near and, for their length, similar enough; cheap tests first,
+    as one condition, so that the optimizer keeps this order."""
+    return _may_be_alike(max_distance) & _are_alike(max_distance, min_similarity)
 
 
 def _judged(alike: DataFrame, max_distance: int) -> DataFrame:
@@ -148,9 +149,16 @@ def typosquat_pairs_blocked(
     """
     left, right = _sides(names, popular)
     key = lambda c: F.explode(_deletion_keys(F.col(c), max_distance, min_similarity)).alias("key")
-    met = left.select("package", key("package")).join(right.select("popular", "rank", key("popular")), "key")
-    pairs = _measured(_measured(met.drop("key"), "package"), "popular")
-    return _judged(pairs.where(_alike(max_distance, min_similarity)), max_distance).distinct()
+    # Lengths and letters are worked out once per name, before its keys multiply it.
+    ours, theirs = (_measured(side, c).select("*", key(c)) for side, c in ((left, "package"), (right, "popular")))
+    met = ours.join(theirs, "key").where(_may_be_alike(max_distance))
+    # A pair meets on many keys: it is made one row first, and only then are distances
+    # worked out. The units come out of the aggregation, so that test can't be moved below it.
+    pairs = met.groupBy("package", "popular", "rank").agg(
+        F.max("package_units").alias("package_units"), F.max("popular_units").alias("popular_units")
+    )
+    exact = F.when(F.col("package_units") + F.col("popular_units") >= 0, _are_alike(max_distance, min_similarity))
+    return _judged(pairs.where(exact), max_distance)
 
 
 def typosquat_alerts(

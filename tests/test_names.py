@@ -97,3 +97,10 @@ def test_both_joins_give_the_same_rows(spark):
     listed = spark.createDataFrame([("🙂🙂", 1), ("🙂🙂", 1), ("abcdefgi", 2), ("ab🙂🙃", 3), ("abcdefgi", 4)], "package STRING, rank INT")
     assert sorted(ds.typosquat_pairs(ours, listed).collect()) == sorted(ds.typosquat_pairs_blocked(ours, listed).collect())
     assert ds.typosquat_pairs(ours, listed).count() > 3
+
+
+def test_distances_come_after_pairs_are_made_distinct(spark):
+    pairs = ds.typosquat_pairs_blocked(names(spark, "abcdefgh"), spark.createDataFrame([("abcdefgi", 1)], "package STRING, rank INT"))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "levenshtein" in line and "Filter" in line]
+    assert len(filters) == 1 and plan.index(filters[0]) < plan.index("Aggregate")
