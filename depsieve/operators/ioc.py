@@ -59,46 +59,35 @@ def ioc_dependency_matches(entries: DataFrame, ioc_deps: DataFrame) -> DataFrame
     return entries.join(ioc_deps, "package", "left_semi").select(*entries.columns, reason.alias("reason"))
 
 
+def indicators(known_bad: DataFrame) -> DataFrame:
+    """(package, bad, is_ioc): its bad versions with their incident, and whether it is an
+    indicator dependency; one row per package of either kind."""
+    bad = first_known_bad(known_bad).select("package", F.struct("version", "incident").alias("bad"), F.lit(False).alias("ioc"))
+    ioc = ioc_dependencies(known_bad).withColumn("ioc", F.lit(True))
+    both = bad.unionByName(ioc, allowMissingColumns=True)
+    return both.groupBy("package").agg(F.collect_list("bad").alias("bad"), F.max("ioc").alias("is_ioc"))
+
+
 def lockfile_matches(lockfiles: DataFrame, known_bad: DataFrame, nested: str = "path") -> DataFrame:
-    """Both kinds of match for every entry of every lockfile.
+    """All matches of the lockfile entries: known-bad versions (kind 0), then IOC names (1).
 
-    The two kinds are worked out in one pass over the entries: two left joins with
-    unique keys, then up to two rows per entry.
+    One inner join by package with the merged indicators, so entries without any drop out
+    there and no hot library of every lockfile is carried along.
     """
     entries = lock_entries(lockfiles, nested)
-    bad = first_known_bad(known_bad).select("package", "version", "incident", F.lit(True).alias("is_bad"))
-    ioc = ioc_dependencies(known_bad).withColumn("is_ioc", F.lit(True))
     found_in = F.concat(_at(), F.lit(" found in "), F.col("file_name"))
-    kinds = F.filter(
-        F.array(
-            F.when(
-                F.col("is_bad"),
-                F.struct(
-                    F.lit(0).alias("kind"),
-                    F.concat(
-                        F.lit("Known-compromised version "), found_in,
-                        F.lit(" ("), F.col("incident"), F.lit(")"),
-                    ).alias("reason"),
-                ),
-            ),
-            F.when(
-                F.col("is_ioc"),
-                F.struct(
-                    F.lit(1).alias("kind"),
-                    F.concat(
-                        F.lit("IOC dependency "), found_in,
-                        F.lit(" — associated with a known supply chain incident"),
-                    ).alias("reason"),
-                ),
-            ),
-        ),
-        lambda m: m.isNotNull(),
+    match = lambda kind, reason: F.struct(F.lit(kind).alias("kind"), reason.alias("reason"))
+    known = F.transform(
+        F.filter("bad", lambda b: b["version"] == F.col("version")),
+        lambda b: match(0, F.concat(F.lit("Known-compromised version "), found_in, F.lit(" ("), b["incident"], F.lit(")"))),
     )
-    return (
-        entries.join(bad, ["package", "version"], "left")
-        .join(ioc, "package", "left")
-        .where(F.col("is_bad") | F.col("is_ioc"))
-        .select(*entries.columns, F.inline(kinds))
+    related = F.when(
+        F.col("is_ioc"),
+        F.array(match(1, F.concat(F.lit("IOC dependency "), found_in, F.lit(" — associated with a known supply chain incident")))),
+    )
+    none = F.array().cast("ARRAY<STRUCT<kind: INT, reason: STRING>>")
+    return entries.join(indicators(known_bad), "package").select(
+        *entries.columns, F.inline(F.concat(known, F.coalesce(related, none)))
     )
 
 
