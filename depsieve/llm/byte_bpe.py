@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns, texts_of, without
+from .common import add_columns, texts_of, without, worker_memo
 
 #: Distinct pre-tokens whose ids a worker keeps; it starts anew when there are more.
-MEMO_TOKENS = 1_000_000
+MEMO_TOKENS = 500_000
 #: Characters up to which a text's pre-tokens are listed at once; longer texts go in slices.
 LIST_CHARS = 4_000_000
 SLICE_TOKENS = 500_000
@@ -129,9 +129,6 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-_encoders: dict[str, "Encoder"] = {}
-
-
 class Encoder:
     """Pre-token to the little-endian bytes of its ids, remembered for repeats."""
 
@@ -152,14 +149,6 @@ class Encoder:
 
         self.memo = Memo()
 
-    @classmethod
-    def of_worker(cls, name: str, ranks: dict[bytes, int], hashed: "PerfectHash", pattern: str) -> "Encoder":
-        """The encoder this Python worker has used before, or a new one: later tasks find its memo."""
-        if name not in _encoders:
-            _encoders.clear()
-            _encoders[name] = cls(ranks, hashed, pattern)
-        return _encoders[name]
-
     def ids_of(self, token: bytes) -> list[int]:
         whole = self.hashed.get(token)
         return [whole] if whole >= 0 else merge_bytes(token, self.ranks)
@@ -188,7 +177,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
     names = kept.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of_worker(f"{ranks_path} {pattern}", *shared.value, pattern)
+        encoder = worker_memo(("bpe", ranks_path, pattern), lambda: Encoder(*shared.value, pattern))
         for batch in batches:
             ids = [encoder.encode(t) for t in texts_of(batch.column(batch.schema.names.index(text)))]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)

@@ -1,7 +1,7 @@
 """Small helpers shared by the corpus operators."""
 
 import functools
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +15,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _scratch: list[str] = []
+_memo: dict = {}
 _left: dict[str, list[str]] = {}
 
 
@@ -77,6 +78,17 @@ def drop_stored(label: str, spark: SparkSession) -> None:
         _delete(spark, name)
 
 
+def worker_memo(key, make: Callable):
+    """What ``make`` has built in this Python worker under ``key``, for later tasks too.
+
+    A worker serves one operator after another; only the last one's is kept.
+    """
+    if key not in _memo:
+        _memo.clear()
+        _memo[key] = make()
+    return _memo[key]
+
+
 def without(schema: T.StructType, names: Iterable[str]) -> T.StructType:
     """The schema less some columns, compared as Spark does (no case)."""
     gone = {n.lower() for n in names}

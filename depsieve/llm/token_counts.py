@@ -15,7 +15,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns, texts_of, without
+from .common import add_columns, texts_of, without, worker_memo
 
 WORD_START = "▁"
 #: Distinct words whose counts a worker keeps; it starts anew when there are more.
@@ -97,9 +97,6 @@ def sentencepiece_vocabulary(path: str) -> tuple[set[str], set[str]]:
     return first, {p for p in pieces if WORD_START not in p}
 
 
-_memos: dict[str, "_Counts"] = {}
-
-
 class _Counts(dict):
     """Word to its piece count, worked out at the first meeting."""
 
@@ -132,10 +129,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str, text: str = "text", drop
     names = kept.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary_path not in _memos:  # kept for later tasks of this Python worker
-            _memos.clear()
-            _memos[vocabulary_path] = _Counts(automaton.value)
-        memo = _memos[vocabulary_path]
+        memo = worker_memo(("pieces", vocabulary_path), lambda: _Counts(automaton.value))
         for batch in batches:
             out = np.zeros((3, batch.num_rows), np.int64)
             for i, t in enumerate(texts_of(batch.column(batch.schema.names.index(text)))):

@@ -18,16 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, texts_of, without
+from .common import add_columns, texts_of, without, worker_memo
 
 #: Distinct words whose sums a worker keeps; it starts anew when there are more.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: The bound on labelled texts that are gathered for training.
-    sample_docs: int = 8_000
+    #: The bound on labelled texts that are gathered in one task for training.
+    sample_docs: int = 7_000
     buckets: int = 1 << 17
     dimensions: int = 8
     shortest: int = 3
@@ -59,7 +59,7 @@ def _words(text: str) -> list[bytes]:
 
 def _features(text: str, s: Settings, memo: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct table rows of a text and their weights: a word counts by the root of its number."""
-    if len(memo) > MEMO_WORDS // 5:
+    if len(memo) > MEMO_WORDS // 4:
         memo.clear()
     words = Counter(_words(text))
     for w in words:
@@ -73,13 +73,17 @@ def _features(text: str, s: Settings, memo: dict[bytes, np.ndarray]) -> tuple[np
     return rows, np.bincount(where, times)
 
 
+#: Weights travel as whole numbers of this part of a word.
+_STEPS = 16
+
+
 def _rows_of(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, np.ndarray] = {}
         for batch in batches:
             rows, weights = zip(*[_features(t, s, memo) for t in texts_of(batch.column(0))], strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([w.astype(np.float32) for w in weights], pa.list_(pa.float32())), batch.column(1)],
+                [pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([np.minimum(w * _STEPS + 0.5, 32767).astype(np.int16) for w in weights], pa.list_(pa.int16())), batch.column(1)],
                 names=["rows", "weights", "toxic"],
             )
 
@@ -149,15 +153,20 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), tex
     # Broadcast of ids and labels: at most sample_docs rows of two numbers.
     met = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(picked), doc_id)
     met = met.groupBy(doc_id, "toxic").agg(F.min("_text").alias("_text")).select("_text", "toxic")
-    table = met.mapInArrow(_rows_of(settings), "rows array<int>, weights array<float>, toxic int").toArrow()
-    toxic = table.column("toxic").to_pylist()
-    rows, weights = ([x.values.to_numpy() for x in table.column(c)] for c in ("rows", "weights"))
-    order = sorted(range(len(toxic)), key=lambda i: (toxic[i], len(rows[i]), rows[i].tobytes()))
-    bags = [(rows[i], weights[i], min(max(toxic[i], 0), 1)) for i in order]
-    return train(bags, settings)
+    bags = met.mapInArrow(_rows_of(settings), "rows array<int>, weights array<smallint>, toxic int")
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = []
+        for batch in batches:
+            for rows, weights, toxic in zip(*batch.columns, strict=True):
+                known.append((rows.values.to_numpy(), weights.values.to_numpy(), min(max(toxic.as_py(), 0), 1)))
+        known.sort(key=lambda b: (b[2], len(b[0]), b[0].tobytes(), b[1].tobytes()))
+        model = train(known, settings)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight], pa.list_(pa.float64())), pa.array([model.bias])], names=["weight", "bias"])
 
-_memos: dict[str, dict] = {}
+    # One task, and so one machine, for at most sample_docs texts.
+    found = bags.repartition(1).mapInArrow(learn, "weight array<double>, bias double").toArrow()
+    return Model(settings, found.column("weight")[0].values.to_numpy(), found.column("bias")[0].as_py())
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = False, output: str = "score") -> DataFrame:
@@ -186,10 +195,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = F
                 found = self[word] = complex(weight[rows].sum(), len(rows))
                 return found
 
-        if key not in _memos:  # kept for later tasks of this Python worker
-            _memos.clear()
-            _memos[key] = Sums()
-        look_up = _memos[key].__getitem__
+        look_up = worker_memo(("toxicity", key), Sums).__getitem__
         for batch in batches:
             out = np.full(batch.num_rows, bias)
             for i, t in enumerate(texts_of(batch.column(batch.schema.names.index(text)))):
