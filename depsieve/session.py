@@ -1,7 +1,10 @@
 """Session settings and the shared working folder."""
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +19,7 @@ RUNTIME_CONF = {
 }
 
 _local_folders: dict[str, str] = {}
+_of_thread = threading.local()
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -70,5 +74,24 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -
     """
     spark = df.sparkSession
     path = new_folder(spark, label)
+    if (paths := getattr(_of_thread, "paths", None)) is not None:
+        paths.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``materialize`` has written inside it, in this thread.
+
+    For work that repeats for ever, such as micro-batches; its results must be written by then.
+    """
+    outer = getattr(_of_thread, "paths", None)
+    _of_thread.paths = []
+    try:
+        yield
+    finally:
+        for name in _of_thread.paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _of_thread.paths = outer

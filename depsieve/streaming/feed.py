@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from depsieve.schemas import CHANGES
+from depsieve.session import intermediates
 from depsieve.sources.alert_table import write_alerts
 
 
@@ -87,7 +88,8 @@ def scan_stream(
     def scan_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
-            write_alerts(scan(batch), f"{out}/run={run_id}/batch_id={batch_id}", extra_types=extra_types)
+            with intermediates(batch.sparkSession):
+                write_alerts(scan(batch), f"{out}/run={run_id}/batch_id={batch_id}", extra_types=extra_types)
             if files is not None:
                 _, bad = quarantine(batch, files)
                 bad.write.mode("overwrite").parquet(f"{out}-errors/run={run_id}/batch_id={batch_id}")

@@ -208,3 +208,9 @@ def test_hostile_lockfiles_finish(locks):
     assert set(entries(ds.yarn_lock_entries(files))) == {("a", "1.0.0")}
     assert entries(ds.pnpm_lock_entries(files)) == [("b", "1.0.0")]
     assert ds.npm_lock_entries(files).count() == 20_000
+
+
+def test_matches_need_no_left_join(spark):
+    lockfiles = spark.createDataFrame([], "project STRING, path STRING, file_name STRING, content STRING")
+    plan = ds.lockfile_alerts(lockfiles, ds.known_bad_table(spark))._jdf.queryExecution().analyzed().toString()
+    assert "LeftOuter" not in plan and plan.count("Join Inner") == 1

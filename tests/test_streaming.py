@@ -1,6 +1,7 @@
 """The publication feed."""
 
 import json
+from pathlib import Path
 
 import pytest
 
@@ -62,6 +63,8 @@ def test_scan_stream_is_idempotent(spark, landing, make_files, tmp_path):
 
     out = str(tmp_path / "alerts")
     stream = ds.publications(ds.read_changes(spark, str(landing), files_per_trigger=3))
+    kept = lambda: {p.name for p in Path(spark.conf.get("spark.checkpoint.dir")).glob("depsieve/*")}
+    before = kept()
     for state in ("one", "two"):  # a lost checkpoint replays all batches
         query = ds.scan_stream(stream, scan, out, str(tmp_path / state), available_now=True, files=files, run="feed")
         assert query.awaitTermination(300)
@@ -71,6 +74,7 @@ def test_scan_stream_is_idempotent(spark, landing, make_files, tmp_path):
         ]
         errors = spark.read.option("basePath", f"{out}-errors").parquet(f"{out}-errors").collect()
         assert [(r.package, r.reason) for r in errors] == [("h", "no files")]
+    assert kept() == before  # intermediate tables of the batches are gone
     # A new checkpoint on other changes keeps the alerts that are there.
     later = ds.publications(ds.resume_from_seq(ds.read_changes(spark, str(landing)), 8))
     query = ds.scan_stream(later, scan, out, str(tmp_path / "three"), available_now=True, files=files)
