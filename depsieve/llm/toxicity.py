@@ -21,7 +21,9 @@ from pyspark.sql import types as T
 from .common import add_columns, texts_of, without, worker_memo
 
 #: Distinct words whose sums a worker keeps; it starts anew when there are more.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 300_000
+#: Words whose n-grams are worked out together.
+WORDS_AT_ONCE = 20_000
 
 
 @dataclass(frozen=True)
@@ -40,37 +42,40 @@ class Settings:
     seed: int = 11
 
 
-def subwords(word: bytes, s: Settings) -> np.ndarray:
-    """Table rows of a word's n-grams: FNV-1a over the bytes, with '<' and '>' at the edges."""
-    edged = np.frombuffer(b"<" + word[:64] + b">", np.uint8).astype(np.uint64)
-    rows = []
-    h = np.full(len(edged), 14695981039346656037, np.uint64)
-    for n in range(1, min(s.longest, len(edged)) + 1):
-        m = len(edged) - n + 1
-        h = (h[:m] ^ edged[n - 1 : n - 1 + m]) * np.uint64(1099511628211)
+def subwords(words: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Table rows of all n-grams of the words, and the place of the word each comes from.
+
+    FNV-1a over the bytes, with '<' and '>' at the edges of a word.
+    """
+    data = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    word = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes up to the word's end
+    rows, owners = [], []
+    h = np.full(len(data), 14695981039346656037, np.uint64)
+    for n in range(1, s.longest + 1):
+        m = max(len(data) - n + 1, 0)
+        h = (h[:m] ^ data[n - 1 : n - 1 + m]) * np.uint64(1099511628211)
         if n >= s.shortest:
-            rows.append((h ^ (h >> np.uint64(29))) % np.uint64(s.buckets))
-    return np.concatenate(rows).astype(np.int64) if rows else np.zeros(1, np.int64)
+            inside = left[:m] >= n
+            own = h[inside]
+            rows.append(((own ^ (own >> np.uint64(29))) % np.uint64(s.buckets)).astype(np.int64))
+            owners.append(word[:m][inside])
+    return np.concatenate(rows), np.concatenate(owners)
 
 
 def _words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").split()
 
 
-def _features(text: str, s: Settings, memo: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _features(text: str, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Distinct table rows of a text and their weights: a word counts by the root of its number."""
-    if len(memo) > MEMO_WORDS // 4:
-        memo.clear()
     words = Counter(_words(text))
-    for w in words:
-        if w not in memo:
-            memo[w] = subwords(w, s)
     if not words:
         return np.empty(0, np.int64), np.empty(0)
-    parts = [memo[w] for w in words]
-    rows, where = np.unique(np.concatenate(parts), return_inverse=True)
-    times = np.repeat(np.sqrt(list(words.values())), [len(p) for p in parts])
-    return rows, np.bincount(where, times)
+    rows, owners = subwords(list(words), s)
+    rows, where = np.unique(rows, return_inverse=True)
+    return rows, np.bincount(where, np.sqrt(list(words.values()))[owners])
 
 
 #: Weights travel as whole numbers of this part of a word.
@@ -79,9 +84,8 @@ _STEPS = 16
 
 def _rows_of(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            rows, weights = zip(*[_features(t, s, memo) for t in texts_of(batch.column(0))], strict=True) if batch.num_rows else ((), ())
+            rows, weights = zip(*[_features(t, s) for t in texts_of(batch.column(0))], strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([np.minimum(w * _STEPS + 0.5, 32767).astype(np.int16) for w in weights], pa.list_(pa.int16())), batch.column(1)],
                 names=["rows", "weights", "toxic"],
@@ -185,24 +189,28 @@ def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = shared.value
 
-        class Sums(dict):
-            """Word to the sum of its rows' weights and their number."""
-
-            def __missing__(self, word: bytes) -> complex:
-                if len(self) >= MEMO_WORDS:
-                    self.clear()
-                rows = subwords(word, s)
-                found = self[word] = complex(weight[rows].sum(), len(rows))
-                return found
+        def sums(words: list[bytes]) -> Iterator[complex]:
+            """For each word the sum of its rows' weights, and their number."""
+            for at in range(0, len(words), WORDS_AT_ONCE):
+                part = words[at : at + WORDS_AT_ONCE]
+                rows, owners = subwords(part, s)
+                total = np.bincount(owners, weight[rows], len(part)) + 1j * np.bincount(owners, minlength=len(part))
+                yield from total.tolist()
 
-        look_up = worker_memo(("toxicity", key), Sums).__getitem__
+        memo = worker_memo(("toxicity", key), dict)
         for batch in batches:
             out = np.full(batch.num_rows, bias)
             for i, t in enumerate(texts_of(batch.column(batch.schema.names.index(text)))):
-                if words := Counter(_words(t)):
-                    sums = np.fromiter(map(look_up, words), np.complex128, len(words))
-                    total = (sums * np.sqrt(np.fromiter(words.values(), float, len(words)))).sum()
-                    out[i] += total.real / total.imag
+                if not (words := Counter(_words(t))):
+                    continue
+                new = [w for w in words if w not in memo]
+                if len(memo) + len(new) > MEMO_WORDS:
+                    memo.clear()
+                    new = list(words)
+                memo.update(zip(new, sums(new), strict=True))
+                each = np.fromiter(map(memo.__getitem__, words), np.complex128, len(words))
+                total = (each * np.sqrt(np.fromiter(words.values(), float, len(words)))).sum()
+                out[i] += total.real / total.imag
             yield add_columns(batch, names, **{output: pa.array(1 / (1 + np.exp(-np.clip(out, -700, 700))))})
 
     return docs.mapInArrow(run, schema)
