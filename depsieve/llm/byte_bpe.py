@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from .common import add_columns, texts_of, without, worker_memo
 
 #: Distinct pre-tokens whose ids a worker keeps; it starts anew when there are more.
-MEMO_TOKENS = 500_000
+MEMO_TOKENS = 300_000
 #: Characters up to which a text's pre-tokens are listed at once; longer texts go in slices.
 LIST_CHARS = 4_000_000
 SLICE_TOKENS = 500_000

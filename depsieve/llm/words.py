@@ -15,7 +15,7 @@ _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _IS_EDGE = _IS_SPACE.copy()  # with ASCII punctuation, for words without it
 _IS_EDGE[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 #: Bytes that are hashed at a time; eight-byte arrays of this length are made on the way.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _POWERS = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(PIECE, _MULTIPLIER))])
 _BACK = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(PIECE, _INVERSE))])
 
