@@ -47,6 +47,12 @@ LAYOUTS = (
     ),
 )
 
+#: A record of fewer bytes never fails by its size: it has no string of 20,000,000 characters,
+#: and its variant, at most a few bytes for each of its own, stays below 128 MiB.
+SMALL_BYTES = 16_000_000
+#: What from_json parses with instead of the limit of 20,000,000 characters a string.
+_NO_LIMIT = {"maxStringLen": "2147483647", "columnNameOfCorruptRecord": "_bad"}
+
 _TYPE = r"(: )?\b(VOID|STRING|BIGINT|BOOLEAN|DOUBLE|FLOAT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|DECIMAL\([0-9, ]+\))(?=[,>]|$)"
 
 
@@ -55,12 +61,40 @@ def fingerprint(variant: Column) -> Column:
     return F.xxhash64(F.regexp_replace(F.schema_of_variant(variant), _TYPE, ""))
 
 
-def _turns(variant: Column, layout: Layout) -> Column:
+def _skeleton(record: Column) -> Column:
+    """The record with empty string values, and one of each run of equal flat objects in a list.
+
+    It has the same field paths.
+    """
+    body = r'[^"\\]*+(?:\\.[^"\\]*+)*+'
+    emptied = F.regexp_replace(record, f'(?s)("{body}"\\s*+:)|("){body}(")', "$1$2$3")
+    return F.regexp_replace(emptied, r"(\{[^{}]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
+def _given(value: Column, body) -> Column:
+    """The body with a value that is worked out once, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _long_turns(record: Column, layout: Layout) -> Column:
+    """The turns of a record of any size; null where it is no JSON."""
     if layout.messages:
-        kind = f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
-        found = F.try_variant_get(variant, layout.messages, kind)
+        fields = f"`{layout.messages[2:]}`:{_messages_kind(layout)}"
+    else:
+        fields = ",".join(f"`{path[2:]}`:string" for _, path in layout.turns)
+    parsed = F.from_json(record, f"struct<{fields},_bad:string>", _NO_LIMIT)
+    return _given(parsed, lambda x: F.when(x["_bad"].isNull(), F.coalesce(_turns(lambda path, _: x[path[2:]], layout), F.array())))
+
+
+def _messages_kind(layout: Layout) -> str:
+    return f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>"
+
+
+def _turns(get, layout: Layout) -> Column:
+    if layout.messages:
+        found = get(layout.messages, _messages_kind(layout))
         return F.transform(found, lambda m: F.struct(_role(m[layout.role]).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text")))
-    each = [(role, F.try_variant_get(variant, path, "string")) for role, path in layout.turns]
+    each = [(role, get(path, "string")) for role, path in layout.turns]
     return F.filter(F.array(*[F.when(text.isNotNull(), F.struct(F.lit(role).alias("role"), text.alias("text"))) for role, text in each]), lambda t: t.isNotNull())
 
 
@@ -75,16 +109,28 @@ def canonical_turns(records: DataFrame, record: str = "record", layouts: tuple[L
     Records of an unknown layout, null ones and invalid JSON keep their row, with a null layout
     and no turns. Null texts count as empty, null roles as an empty name. Input columns named
     layout or turns are replaced. No rows in, no rows out.
+
+    Records that a variant cannot hold (a string of more than 20,000,000 characters, or more
+    than 128 MiB) are told apart by their skeleton and read by from_json. It is an error if
+    even the skeleton is of such a size.
     """
     kept = [c for c in records.columns if c.lower() not in ("layout", "turns", record.lower())]
-    read = records.select(*kept, F.try_parse_json(F.col(record).cast("string")).alias("_variant"))
-    read = read.select(*kept, "_variant", fingerprint(F.col("_variant")).alias("_print"))
+    read = records.select(*kept, F.col(record).cast("string").alias("_record")).withColumn("_variant", F.try_parse_json("_record"))
+    large = F.col("_variant").isNull() & (F.octet_length("_record") >= SMALL_BYTES)
+    read = read.select(*kept, "_record", "_variant", large.alias("_large"), F.when(large, _skeleton(F.col("_record"))).alias("_skeleton"))
+    shape = F.when(F.col("_large"), F.try_parse_json("_skeleton")).otherwise(F.col("_variant"))
+    read = read.withColumn("_shape", shape)
+    lost = F.col("_large") & F.col("_shape").isNull() & (F.octet_length("_skeleton") >= SMALL_BYTES)
+    told = F.when(lost, F.raise_error(F.lit("a record is too large for its layout to be told"))).otherwise(fingerprint(F.col("_shape")))
+    read = read.select(*kept, "_record", "_variant", "_large", told.alias("_print"))
     name, turns = F.lit(None).cast("string"), F.array().cast("array<struct<role:string,text:string>>")
     for x in layouts:
         same = F.col("_print") == fingerprint(F.try_parse_json(F.lit(x.example)))
         name = F.when(same, x.name).otherwise(name)
-        turns = F.when(same, F.coalesce(_turns(F.col("_variant"), x), F.array())).otherwise(turns)
-    return read.select(*kept, name.alias("layout"), turns.alias("turns"))
+        small = F.coalesce(_turns(lambda path, kind: F.try_variant_get("_variant", path, kind), x), F.array())
+        turns = F.when(same & F.col("_large"), _long_turns(F.col("_record"), x)).when(same, small).otherwise(turns)
+    read = read.select(*kept, name.alias("_layout"), turns.alias("_turns"))
+    return read.select(*kept, F.when(F.col("_turns").isNotNull(), F.col("_layout")).alias("layout"), F.coalesce("_turns", F.array()).alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -111,11 +157,31 @@ def _unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\_"), F.lit(""))), "\\")
 
 
-def _begins(lengths: Column) -> Column:
-    """The sum of all lengths before each."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("all"))
-    step = lambda a, x: F.struct((a["n"] + x).alias("n"), F.array_append(a["all"], a["n"]).alias("all"))
-    return F.aggregate(lengths, start, step, lambda a: a["all"])
+#: Lengths that are summed one by one; longer lists are summed by blocks of so many.
+_BLOCK = 64
+
+
+def _begins(lengths: Column, levels: int = 3) -> Column:
+    """The sum of all lengths before each.
+
+    Appending copies the list, so only lists of up to _BLOCK are built that way.
+    """
+
+    def few(x, first):
+        start = F.struct(first.alias("n"), F.array().cast("array<bigint>").alias("all"))
+        step = lambda a, n: F.struct((a["n"] + n).alias("n"), F.array_append(a["all"], a["n"]).alias("all"))
+        return F.aggregate(x, start, step, lambda a: a["all"])
+
+    def many(x):
+        starts = F.sequence(F.lit(1), F.size(x), F.lit(_BLOCK))
+        return _given(F.transform(starts, lambda k: F.slice(x, k, _BLOCK)), of_blocks)
+
+    def of_blocks(blocks):
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, n: a + n))
+        return F.flatten(F.zip_with(blocks, _begins(sums, levels - 1), few))
+
+    zero = F.lit(0).cast("long")
+    return _given(lengths, lambda x: F.when(F.size(x) <= _BLOCK, few(x, zero)).otherwise(many(x)) if levels else few(x, zero))
 
 
 def format_turns(conversations: DataFrame, turns: str = "turns") -> DataFrame:
@@ -160,11 +226,12 @@ def read_turns(formatted: Column) -> Column:
 
 def learned_text(formatted: Column, loss_spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order, with nothing between."""
-    data = formatted.cast("binary")
-    return F.array_join(
-        F.transform(
+
+    def pieces(data):
+        return F.transform(
             loss_spans,
             lambda s: unescape(F.substring(data, (s["start_byte"] + 1).cast("int"), (s["end_byte"] - s["start_byte"]).cast("int")).cast("string")),
-        ),
-        "",
-    )
+        )
+
+    # The cast copies the text.
+    return F.array_join(_given(formatted.cast("binary"), pieces), "")

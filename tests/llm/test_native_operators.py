@@ -1,5 +1,6 @@
 """URL filters and chat formatting."""
 
+import hashlib
 import json
 import random
 
@@ -110,6 +111,43 @@ def test_layouts_turns_and_round_trip(spark):
             assert r.formatted[s.start : s.end].encode() == r.formatted.encode()[s.start_byte : s.end_byte]
 
 
+def test_conversations_of_any_size(spark, tmp_path):
+    """One text of more than 20,000,000 characters, more than 128 MiB in all, and very many turns."""
+    from depsieve.llm import queries
+
+    body = '"<a\\\\é'
+    sizes = [(1, 0, "user", 4_100_000), (1, 1, "assistant", 1), *[(2, k, ("user", "assistant")[k % 2], 2_600_000) for k in range(10)]]
+    sizes += [(3, k, ("user", "assistant")[k % 3 == 1], k % 5) for k in range(20_000)]
+    table = spark.createDataFrame(sizes, "conv_id long, turn long, role string, times int")
+    table.select("conv_id", "turn", "role", F.repeat(F.lit(body), F.col("times")).alias("text")).coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r.conv_id: r for r in queries.op6_chat_format(spark, str(tmp_path)).collect()}
+    for conv in (1, 2, 3):
+        own = [(role, body * times) for c, _, role, times in sizes if c == conv]
+        learned = "".join(t for role, t in own if role == "assistant")
+        lines = "".join(f"{role}\n{t}\n" for role, t in own)
+        assert found[conv].n_turns == len(own)
+        assert found[conv].turns_sha256 == hashlib.sha256(lines.encode()).hexdigest()
+        assert (found[conv].loss_chars, found[conv].loss_sha256) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
+
+
+def test_large_records_of_odd_shapes(spark):
+    text = 'x{,}\\"' + "y" * 20_000_001
+    rows = [
+        (1, json.dumps({"instruction": text, "input": None, "output": "o"})),
+        (2, json.dumps({"messages": [{"role": "user", "content": text}, None]})),
+        (3, json.dumps({"unknown": text})),
+        (4, '{"prompt": "%s", "response": "\\q"}' % ("y" * 20_000_001)),
+        (5, '{"prompt": "%s", "response": ' % ("y" * 20_000_001)),
+        (6, json.dumps({"conversations": [{"value": text, "from": "gpt"}]}, indent=1)),
+    ]
+    canonical = chat_format.canonical_turns(spark.createDataFrame(rows, "id long, record string"))
+    found = {r.id: (r.layout, [tuple(t) for t in r.turns]) for r in canonical.collect()}
+    assert found == {
+        1: ("instruction-input", [("system", text), ("assistant", "o")]), 2: ("messages", [("user", text), ("", "")]),
+        3: (None, []), 4: (None, []), 5: (None, []), 6: ("conversations", [("assistant", text)]),
+    }
+
+
 def test_no_records(spark):
     none = spark.createDataFrame([], "id long, record string")
     assert chat_format.format_turns(chat_format.canonical_turns(none)).count() == 0
