@@ -5,7 +5,8 @@ so 1 is a full match. Items are in blocks, and each block has the largest weight
 As in block-max WAND, a passage looks into a block only if the sum of these maxima over its
 terms can reach the threshold: the commonest terms of a block are left out of that sum as
 long as together they stay below a slack, which is added instead. All items that reach the
-threshold are retrieved, and then verified: question and answer must both be in the passage.
+threshold are retrieved, and then verified: question and answer must both be in the passage,
+by their shingles or as a run of words that few edits turn into them.
 """
 
 import math
@@ -28,7 +29,8 @@ class Settings:
     #: The share of an item's own BM25 score from which a passage is looked at.
     score: float = 0.6
     shingle: int = 5
-    #: The share of an item's question shingles, and of its answer's, that a passage must hold.
+    #: The share of an item's question shingles, and of its answer's, that a passage must hold;
+    #: or else the share of words that edits leave of each.
     overlap: float = 0.8
     k1: float = 1.2
     b: float = 0.75
@@ -52,6 +54,39 @@ def _words_of(text: str) -> np.ndarray:
     return word_hashes(pa.array([text]), punctuation=False)[0]
 
 
+def edited_at(part: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """For each end in ``words``, the fewest edits that turn a run of words ending there into the part.
+
+    An edit replaces, drops or inserts one word.
+    """
+    steps = np.arange(len(words) + 1)
+    fewest = np.zeros(len(words) + 1, np.int64)
+    for i, word in enumerate(part, 1):
+        new = np.empty_like(fewest)
+        new[0] = i
+        new[1:] = np.minimum(fewest[:-1] + (words != word), fewest[1:] + 1)
+        # Words inserted after any earlier end.
+        fewest = np.minimum.accumulate(new - steps) + steps
+    return fewest
+
+
+def _common(x: list, y: list) -> int:
+    """The length of the longest common subsequence."""
+    row = [0] * (len(y) + 1)
+    for a in x:
+        row, last = [0], row
+        for k, b in enumerate(y):
+            row.append(last[k] + 1 if a == b else max(last[k + 1], row[k]))
+    return row[-1]
+
+
+def _beside(part: np.ndarray, other: np.ndarray, words: np.ndarray) -> float:
+    """The largest share of a short part that follows the places where the other part is best met."""
+    ends = edited_at(other, words)
+    best = np.flatnonzero(ends == ends.min())
+    return max(_common(part.tolist(), words[e : e + len(part) + 1].tolist()) for e in best) / len(part)
+
+
 @dataclass
 class _Class:
     """The items of similar length: passages are two cells of ``stride`` words."""
@@ -87,7 +122,9 @@ class Index:
             weights.append({w: v / total for w, v in own.items()})
             lengths.append(len(words))
             parts = [p for p in map(_words_of, question_and_answer(text)) if len(p)]
-            self.parts.append([(min(s.shingle, len(p)), np.unique(shingle_hashes(p, s.shingle))) for p in parts])
+            self.parts.append([(min(s.shingle, len(p)), np.unique(shingle_hashes(p, s.shingle)), p) for p in parts])
+            # Words that edits may insert are in one passage with the others.
+            lengths[-1] += sum(int((1 - s.overlap) * len(p) + 1e-9) for p in parts)
         self.vocabulary = np.unique(np.array([w for own in weights for w in own], np.uint64))
         place = {w: i for i, w in enumerate(self.vocabulary.tolist())}
         by_class: dict[int, list[int]] = {}
@@ -173,13 +210,36 @@ class Index:
         self.marks[term] = False
         for k in np.flatnonzero(scores >= s.score - 1e-9):
             item = c.items[block * s.block + int(k)]
-            overlaps = []
-            for size, shingles in self.parts[item]:
-                there = shingle_hashes(words, size) if len(words) >= size else words[:0]
-                overlaps.append(float(np.isin(shingles, there).mean()))
-            if min(overlaps) >= s.overlap:
+            overlaps = self._overlaps(self.parts[item], words)
+            if overlaps:
                 yield item, float(scores[k]), (overlaps[0], overlaps[-1])
 
+    def _overlaps(self, parts: list[tuple], words: np.ndarray) -> list[float]:
+        """The share of each part that a passage holds; none if one of them is not verified.
+
+        A part of fewer words than a shingle may lack one of them right beside the other part.
+        """
+        s, found = self.settings, []
+        for size, shingles, own in parts:
+            there = shingle_hashes(words, size) if len(words) >= size else words[:0]
+            share = float(np.isin(shingles, there).mean())
+            if share < s.overlap and np.isin(own, words).mean() >= s.overlap - 1e-9:
+                share = max(share, float(1 - edited_at(own, words).min() / len(own)))
+            found.append(share)
+        missing = [k for k, share in enumerate(found) if share < s.overlap - 1e-9]
+        if not missing:
+            return found
+        if len(missing) > 1 or len(parts) == 1:
+            return []
+        (k,) = missing
+        own, other = parts[k][2], parts[1 - k][2]
+        if not 1 < len(own) < s.shingle:
+            return []
+        # A question is in front of its answer, so there both are read backwards.
+        share = _beside(own, other, words) if k else _beside(own[::-1], other[::-1], words[::-1])
+        found[k] = max(found[k], share)
+        return found if share >= 1 - 1 / len(own) - 1e-9 else []
+
 
 def _indexes(benchmark: DataFrame, s: Settings, text: str, item_id: str) -> Iterator[Index]:
     """Indexes of a bounded number of bytes each, with the statistics of all items."""
@@ -213,8 +273,10 @@ def find_contamination(
     Words are runs without ASCII white space and punctuation, A-Z lower-cased. A document is
     read whole, in overlapping passages that are at least twice as long as the item. Null and
     empty texts and items match nothing. Repeated documents and items give repeated rows.
-    A part of an item with fewer words than a shingle must occur whole. Further columns are
-    not looked at. No documents or no items: no rows.
+    A part of an item is met by 0.8 of its shingles, or if at most a fifth of its words are
+    edited (replaced, dropped or inserted); of a part of two to four words one word may be
+    missing right beside the other part, a single word must occur. The overlaps are the shares
+    met. Further columns are not looked at. No documents or no items: no rows.
     """
     id_kind, item_kind = docs.schema[doc_id].dataType.simpleString(), benchmark.schema[item_id].dataType.simpleString()
     schema = f"doc_id {id_kind}, item_id {item_kind}, score double, question_overlap double, answer_overlap double"

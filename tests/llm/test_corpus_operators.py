@@ -189,6 +189,31 @@ def test_contamination_equals_search(spark):
     assert kept == {i for i, _ in rows} - {i for i, _ in planted}
 
 
+def test_edited_items_are_found(spark):
+    rnd = random.Random(9)
+    own = iter(range(10**6))
+    fresh = lambda n: [f"v{next(own)}" for _ in range(n)]
+    items, rows, planted = [], [], set()
+    for k, (asked, answered) in enumerate([(28, 8), (12, 5), (28, 4), (20, 3), (15, 2), (3, 12), (11, 11), (9, 1)]):
+        question, answer = fresh(asked), fresh(answered)
+        items.append((k, f"{' '.join(question)}? {' '.join(answer)}."))
+        for part, other, front in ((question, answer, True), (answer, question, False)):
+            # One edit in any part of several words, two where they are at most a fifth of it.
+            for edits in (1, 2)[: 0 if len(part) < 2 else 2 if len(part) >= 10 else 1]:
+                for kind in ("replace", "drop", "insert"):
+                    for _ in range(4):
+                        new = list(part)
+                        for at in sorted(rnd.sample(range(len(part)), edits), reverse=True):
+                            new[at : at + (kind != "insert")] = [] if kind == "drop" else fresh(1)
+                        words_of = new + other if front else other + new
+                        planted.add((len(rows), k))
+                        rows.append((len(rows), " ".join(fresh(rnd.randint(0, 90)) + words_of + fresh(rnd.randint(0, 90)))))
+        # The question alone, or with another answer, is no match.
+        rows += [(len(rows), " ".join(fresh(30) + question)), (len(rows) + 1, " ".join(fresh(30) + question + fresh(answered)))]
+    docs, bench = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.find_contamination(docs, bench).collect()} == planted
+
+
 def test_no_items_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b c")], SCHEMA)
     assert decontamination.find_contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
