@@ -26,8 +26,9 @@ from .words import shingle_hashes, word_hashes
 
 @dataclass(frozen=True)
 class Settings:
-    #: The share of an item's own BM25 score from which a passage is looked at.
-    score: float = 0.6
+    #: The share of an item's own BM25 score from which a passage is looked at, or the share
+    #: that is left without the words that verification allows to be missing, if it is smaller.
+    score: float = 0.5
     shingle: int = 5
     #: The share of an item's question shingles, and of its answer's, that a passage must hold;
     #: or else the share of words that edits leave of each.
@@ -106,7 +107,7 @@ class Index:
     """BM25 weights of one set of items."""
 
     def __init__(self, items: list[tuple[object, str]], frequency: dict[int, int], n_items: int, mean_words: float, s: Settings):
-        self.settings, self.ids, self.parts = s, [], []
+        self.settings, self.ids, self.parts, self.scale = s, [], [], []
         lengths, weights = [], []
         for item_id, text in items:
             words = _words_of(text)
@@ -119,10 +120,13 @@ class Index:
                 own[w] = idf * tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * len(words) / mean_words))
             total = sum(own.values())
             self.ids.append(item_id)
-            weights.append({w: v / total for w, v in own.items()})
             lengths.append(len(words))
             parts = [p for p in map(_words_of, question_and_answer(text)) if len(p)]
             self.parts.append([(min(s.shingle, len(p)), np.unique(shingle_hashes(p, s.shingle)), p) for p in parts])
+            share = {w: v / total for w, v in own.items()}
+            # Weights are scaled so that all items have the same threshold.
+            self.scale.append(s.score / min(s.score, max(1 - self._missing(self.parts[-1], share), 0.01)))
+            weights.append({w: v * self.scale[-1] for w, v in share.items()})
             # Words that edits may insert are in one passage with the others.
             lengths[-1] += sum(int((1 - s.overlap) * len(p) + 1e-9) for p in parts)
         self.vocabulary = np.unique(np.array([w for own in weights for w in own], np.uint64))
@@ -133,6 +137,21 @@ class Index:
         self.marks = np.zeros(len(self.vocabulary) + 1, bool)
         self.classes = [self._class(stride, own, weights, place) for stride, own in sorted(by_class.items())]
 
+    def _missing(self, parts: list[tuple], share: dict[int, float]) -> float:
+        """The most of an item's score that a verified passage may lack."""
+        s, lost = self.settings, 0.0
+        if len(parts) == 2 and np.array_equal(parts[0][2], parts[1][2]):
+            parts = parts[:1]
+        for size, shingles, own in parts:
+            edits = int((1 - s.overlap) * len(own) + 1e-9)
+            if len(parts) > 1 and 1 < len(own) < s.shingle:
+                edits = 1
+            # Each missing word is in a missing shingle of its own, as its first or its last
+            # word; with repeated shingles two words may share one.
+            gone = int((1 - s.overlap) * len(shingles) + 1e-9) * (1 if len(shingles) == len(own) - size + 1 else 2)
+            lost += sum(sorted((share[w] for w in set(own.tolist())), reverse=True)[: max(edits, gone)])
+        return lost
+
     def _class(self, stride, items, weights, place) -> _Class:
         s, rows, slack, block_terms, block_weights = self.settings, [], [], [], []
         for b, at in enumerate(range(0, len(items), s.block)):
@@ -212,7 +231,7 @@ class Index:
             item = c.items[block * s.block + int(k)]
             overlaps = self._overlaps(self.parts[item], words)
             if overlaps:
-                yield item, float(scores[k]), (overlaps[0], overlaps[-1])
+                yield item, float(scores[k]) / self.scale[item], (overlaps[0], overlaps[-1])
 
     def _overlaps(self, parts: list[tuple], words: np.ndarray) -> list[float]:
         """The share of each part that a passage holds; none if one of them is not verified.

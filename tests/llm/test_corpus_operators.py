@@ -214,6 +214,16 @@ def test_edited_items_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in decontamination.find_contamination(docs, bench).collect()} == planted
 
 
+def test_items_are_retrieved_without_their_rarest_words(spark):
+    common = [f"c{k}" for k in range(8)]
+    items = [(k, " ".join([*common, f"own{k}", f"other{k}"])) for k in range(40)]
+    items.append((40, f"{' '.join(common[:4])} rare? {' '.join(common[4:])} seldom."))
+    docs = spark.createDataFrame([(1, f"{' '.join(common[:4])} x {' '.join(common[4:])} y")], SCHEMA)
+    found = decontamination.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert 40 in {r.item_id for r in found}
+    assert all(0 < r.score <= 1 + 1e-9 for r in found)
+
+
 def test_no_items_and_no_documents(spark):
     docs = spark.createDataFrame([(1, "a b c")], SCHEMA)
     assert decontamination.find_contamination(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
