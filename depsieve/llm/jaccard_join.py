@@ -116,7 +116,7 @@ class _FrequentTokens:
 
 #: Bins of a 128th of all hashes in which a set's own tokens are counted, and the depth of sets
 #: whose rare tokens are all indexed.
-_BINS, _WHOLE = 32, 127
+_BINS, _WHOLE = 32, 128
 
 _DESCRIBED = "doc_id long, n_shingles long, set_id long, histogram array<smallint>, token long, count long"
 

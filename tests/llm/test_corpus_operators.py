@@ -143,6 +143,10 @@ def test_signatures_meet_whatever_is_frequent():
             assert len(np.intersect1d(jaccard_join.signatures(x, frequent[0], s), jaccard_join.signatures(y, frequent[1], s)))
 
 
+def test_no_depth_is_taken_for_whole():
+    assert int(np.uint64(2**64 - 1) >> np.uint64(57)) < jaccard_join._WHOLE
+
+
 def test_repeated_ids_and_null_ids(spark):
     text = " ".join(_prose(random.Random(1), 30))
     rows = [(3, text), (3, text), (None, text), (2, text + " x"), (3, "other words here for the same id")]
