@@ -1,7 +1,7 @@
 """Removal of passages that repeat across documents, by content-defined chunks of lines.
 
-Lines are hashed, a rolling hash over the line hashes picks boundary lines (the smallest
-of each ``window`` neighbours), and the lines between boundaries form chunks. Boundaries
+Lines are hashed, the line hashes pick boundary lines (the smallest of each ``window``
+neighbours; there is no rolling hash), and the lines between boundaries form chunks. Boundaries
 depend on the lines around them only, so text put in or taken out elsewhere does not shift
 them, and two copies of a passage are cut alike. Everything is built-in Spark expressions.
 """
