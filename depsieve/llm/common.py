@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from pyspark.sql import types as T
 
 from depsieve.session import new_folder
@@ -105,3 +106,24 @@ def add_columns(batch: pa.RecordBatch, keep: list[str], **new) -> pa.RecordBatch
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a column, empty where null."""
     return [t or "" for t in column.to_pylist()]
+
+
+def positions(df: DataFrame, keys: list[str], order: list[str], label: str) -> DataFrame:
+    """``df`` with ``pos`` (long, from 0): the row's place among rows of equal ``keys`` by ``order``.
+
+    The rows are range-partitioned by keys and order, numbered inside each partition and
+    shifted by the counts of the same keys in earlier partitions, so a key with a third of all
+    rows is spread over many tasks and no window holds a whole group. The numbered rows are
+    stored before use: a retry cannot number them anew. Key columns must not be null (give
+    callers' nulls a sort key of their own); rows equal in keys and order get consecutive places
+    in an order that is arbitrary but fixed once stored.
+    """
+    ranked = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    ranked = stored(ranked.withColumn("_mid", F.monotonically_increasing_id()), label)
+    part = F.shiftright("_mid", 33).alias("_part")
+    # One row per partition and key: at most partitions + keys rows, whatever the skew.
+    firsts = ranked.groupBy(part, *keys).agg(F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_n")
+    firsts = firsts.select("_part", *keys, "_first", before.alias("_before"))
+    placed = ranked.withColumn("_part", F.shiftright("_mid", 33)).join(firsts, ["_part", *keys])
+    return placed.withColumn("pos", F.col("_before") + F.col("_mid") - F.col("_first")).drop("_part", "_first", "_before", "_mid")

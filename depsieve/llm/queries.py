@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontamination, exact_dedup, jaccard_join, line_dedup, lm_scoring, token_counts, toxicity, url_filters
+from . import byte_bpe, chat_format, decontamination, exact_dedup, jaccard_join, lexical_search, line_dedup, lm_scoring, token_counts, toxicity, url_filters
 from .common import crc_bucket, lower_ascii, whole_text
 
 
@@ -99,6 +99,10 @@ def op10_decontamination(spark, sf):
     return decontamination.find_contamination(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
 
+def op11_lexical_search(spark, sf):
+    return lexical_search.top_k(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), lexical_search.Settings(k=20))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
@@ -110,11 +114,30 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_lexical_search": op11_lexical_search,
 }
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{lexical_search.TERM}')"
+
 ORACLE_SQL = {
+    "op11_lexical_search": f"""
+        with rows as (select doc_id, row_number() over () as d, {_TERMS} as t from documents),
+        counts as (select d, doc_id, term, count(*) as tf from (select d, doc_id, unnest(t) as term from rows) group by all),
+        lens as (select d, sum(tf) as n from counts group by d),
+        tot as (select count(*) as big_n, sum(n) as big_l from lens),
+        dfs as (select term, count(*) as df from counts group by term),
+        imp as (
+          select c.d, c.doc_id, c.term,
+            cast(floor(1000 * ln(cast(2 * big_n + 2 as double) / cast(2 * df + 1 as double))) as bigint)
+              * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l))) as impact
+          from counts c join dfs using (term) join lens using (d) cross join tot),
+        items as (select item_id, qid, unnest(t) as term from (select item_id, row_number() over () as qid, {_TERMS} as t from benchmark)),
+        scores as (select qid, item_id, d, doc_id, sum(impact) as score from items join imp using (term) group by all)
+        select item_id, cast(rank as integer) as rank, cast(doc_id as bigint) as doc_id, cast(score as bigint) as score
+        from (select *, row_number() over (partition by qid order by score desc, doc_id, d) as rank from scores where score > 0)
+        where rank <= 20""",
     "op6_chat_format": """
         with rows as (
           select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
