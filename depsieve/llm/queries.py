@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontamination, exact_dedup, jaccard_join, lexical_search, line_dedup, lm_scoring, token_counts, toxicity, url_filters
+from . import byte_bpe, chat_format, decontamination, exact_dedup, jaccard_join, lexical_search, line_dedup, lm_scoring, merkle, token_counts, toxicity, url_filters
 from .common import crc_bucket, lower_ascii, whole_text
 
 
@@ -103,6 +103,21 @@ def op11_lexical_search(spark, sf):
     return lexical_search.top_k(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"), lexical_search.Settings(k=20))
 
 
+#: The fields of a leaf, in order.
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op12_merkle_manifest(spark, sf):
+    docs = _table(spark, sf, "documents")
+    # Rows whose unsigned crc32 of the decimal id is even lose the line feeds of their text.
+    tampered = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0) & F.col("text").isNotNull()
+    changed = [F.when(tampered, F.regexp_replace("text", "\n", "")).otherwise(F.col("text")) if f == "text" else F.col(f) for f in LEAF_FIELDS]
+    docs = docs.select(*LEAF_FIELDS, merkle.leaf_of(changed).alias("_tampered"))
+    found = merkle.manifest(docs, LEAF_FIELDS, group="source", order="doc_id", arity=3, carry=("doc_id", "_tampered"), label="op12")
+    folded = merkle.fold(F.col("_tampered"), F.col("path"))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
@@ -115,6 +130,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontamination": op10_decontamination,
     "op11_lexical_search": op11_lexical_search,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
