@@ -24,7 +24,7 @@ is summed map-side and its top documents are cut per task before any shuffle.
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,42 +54,43 @@ def whole_text_of(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
-def impacts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket_ratio: float = 1.25) -> DataFrame:
+def impacts(docs: DataFrame, vocabulary: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", bucket_ratio: float = 1.25) -> DataFrame:
     """One row per (document row, term): _d (row key), doc_id, term, impact (long), bucket, norm.
 
     ``N`` counts rows with a term, ``L`` all their terms. A term's weight is
     floor(1000 * ln((2N+2)/(2df+1))); a row's length norm m = 75 + (25 n N) div L; the impact
-    of a term with tf occurrences is weight * ((10^9 tf) div (1000 tf + 12 m)). The bucket is
-    the row's norm on a logarithmic scale of base ``bucket_ratio``. Rows are told apart by a
-    stored row key, so repeated doc_ids stay separate documents.
+    of a term with tf occurrences is weight * ((10^9 tf) div (1000 tf + 12 m)). Terms are
+    counted by (row, term), map-side first; with a ``vocabulary`` (column ``term``) only its terms are kept,
+    and norms are those of the kept part of each vector, which bounds scores against queries
+    of that vocabulary as tightly as the whole (tighter). The bucket is the norm on a
+    logarithmic scale of base ``bucket_ratio``. Rows are told apart by a stored row key, so
+    repeated doc_ids stay separate documents.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("doc_id"), terms_of(F.col(text)).alias("_t")).withColumn("_d", F.monotonically_increasing_id())
-    counts = rows.select("_d", "doc_id", F.explode("_t").alias("term")).groupBy("_d", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), terms_of(F.col(text)).alias("_t"))
+    rows = rows.select("doc_id", F.size("_t").cast("long").alias("n"), "_t").withColumn("_d", F.monotonically_increasing_id())
+    # N and L are gathered while the postings are written, not by a pass of their own.
+    totals = Observation("op11-totals")
+    rows = rows.observe(totals, F.count(F.when(F.col("n") > 0, 1)).alias("N"), F.coalesce(F.sum("n"), F.lit(0)).alias("L"))
+    words = rows.select("_d", "doc_id", "n", F.explode("_t").alias("term"))
+    if vocabulary is not None:
+        # Before the count: only postings of query terms are ever shuffled.
+        words = words.join(vocabulary.select("term").distinct(), "term", "left_semi")
+    counts = words.groupBy("_d", "doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = stored(counts, "op11-counts")
-    lengths = counts.groupBy("_d").agg(F.sum("tf").alias("n"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
-    big_n, big_l = int(totals["N"] or 0), int(totals["L"] or 0)
+    big_n, big_l = int(totals.get["N"]), int(totals.get["L"])
     if big_n == 0:
         return spark.createDataFrame([], "_d long, doc_id long, term string, impact long, bucket int, norm double")
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(F.lit(float(WEIGHT_SCALE)) * F.log((F.lit(2.0 * big_n + 2.0)) / (F.lit(2.0) * F.col("df") + F.lit(1.0))))
     # 25 n N can pass 2^63 on a large corpus: decimal(38) until the division.
-    share = F.expr(f"(cast({LENGTH_SHARE} as decimal(38,0)) * n * {big_n}) div {big_l}")
-    lengths = lengths.select("_d", (F.lit(LENGTH_WHOLE - LENGTH_SHARE) + share).cast("long").alias("m"))
-    tf_part = F.floor((F.lit(IMPACT_SCALE) * F.col("tf")) / (F.lit(WEIGHT_SCALE) * F.col("tf") + F.lit(K1_TENTHS) * F.col("m"))).cast("long")
-    scored = (
-        counts.join(df.select("term", weight.cast("long").alias("w")), "term")
-        .join(lengths, "_d")
-        .select("_d", "doc_id", "term", (F.col("w") * tf_part).alias("impact"))
-    )
-    norms = scored.groupBy("_d").agg(F.sqrt(F.sum(F.col("impact").cast("double") * F.col("impact"))).alias("norm"))
-    bucket = F.when(F.col("norm") > 0, F.floor(F.log(F.col("norm")) / F.lit(_ln(bucket_ratio)))).otherwise(F.lit(-(2**31) + 1)).cast("int")
-    return stored(scored.join(norms.select("_d", "norm", bucket.alias("bucket")), "_d"), "op11-impacts")
-
-
-def _ln(x: float) -> float:
-    return math.log(x)
+    m = (F.lit(LENGTH_WHOLE - LENGTH_SHARE) + F.expr(f"(cast({LENGTH_SHARE} as decimal(38,0)) * n * {big_n}) div {big_l}")).cast("long")
+    tf_part = F.floor((F.lit(IMPACT_SCALE) * F.col("tf")) / (F.lit(WEIGHT_SCALE) * F.col("tf") + F.lit(K1_TENTHS) * m)).cast("long")
+    scored = counts.join(df.select("term", weight.cast("long").alias("w")), "term").select("_d", "doc_id", "term", (F.col("w") * tf_part).alias("impact"))
+    norm = F.sqrt(F.sum(F.col("impact").cast("double") * F.col("impact")).over(Window.partitionBy("_d")))
+    scored = scored.withColumn("norm", norm)
+    bucket = F.when(F.col("norm") > 0, F.floor(F.log(F.col("norm")) / F.lit(math.log(bucket_ratio)))).otherwise(F.lit(-(2**31) + 1)).cast("int")
+    return stored(scored.withColumn("bucket", bucket), "op11-impacts")
 
 
 def query_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
@@ -109,10 +110,11 @@ def top_k(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), do
     inputs are not carried, so their names cannot clash.
     """
     k = settings.k
-    post = impacts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), bucket_ratio=settings.bucket_ratio)
     query = query_terms(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")))
+    # Only terms of some query can score: the rest of each vector is never written.
+    post = impacts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), query.select("term"), bucket_ratio=settings.bucket_ratio)
     qnorm = query.groupBy("_q").agg(F.sqrt(F.sum(F.col("q").cast("double") * F.col("q"))).alias("qnorm"))
-    used = post.join(query.select("term").distinct(), "term", "left_semi")
+    used = post
 
     def exact(pairs: DataFrame) -> DataFrame:
         """(_q, _d) pairs with their exact scores, over the query's terms with repeats."""
