@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontamination, exact_dedup, jaccard_join, lexical_search, line_dedup, lm_scoring, merkle, token_counts, toxicity, url_filters
-from .common import crc_bucket, lower_ascii, whole_text
+from . import byte_bpe, chat_format, decontamination, exact_dedup, jaccard_join, lexical_search, line_dedup, lm_scoring, merkle, spotsigs, token_counts, toxicity, url_filters
+from .common import crc_bucket, lower_ascii, positions, stored, whole_text
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -118,6 +118,27 @@ def op12_merkle_manifest(spark, sf):
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
 
 
+def op13_spot_signatures(spark, sf):
+    settings = spotsigs.Settings()
+    docs = _table(spark, sf, "documents").select("doc_id", whole_text().alias("text"))
+    anchors = spotsigs.common_words(docs, settings.anchors)
+    keyed = docs.select(F.lit(0).alias("_c"), "doc_id", "text", F.sha2("text", 256).alias("_h"), F.length("text").cast("long").alias("n_chars"))
+    placed = positions(keyed, ["_c"], ["doc_id", "_h"], "op13-order")
+    prints = stored(placed.select("pos", "doc_id", "text", "n_chars", spotsigs.signatures(F.col("text"), anchors, settings).alias("sigs")), "op13-prints")
+    total = prints.count()
+    # The next row by ascending doc_id; after the last, the first.
+    following = prints.select(((F.col("pos") + total - 1) % total).alias("pos"), F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs"))
+    cut = F.floor(F.col("n_chars") / 4).cast("int")
+    edited = F.concat(F.substring("text", 1, (F.col("n_chars") - cut).cast("int")), F.substring("next_text", 1, cut))
+    both = prints.join(following, "pos").withColumn("edited", edited)
+    both = both.withColumn("edited_sigs", spotsigs.signatures(F.col("edited"), anchors, settings))
+    return both.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.fingerprint_text(F.col("sigs")).alias("fingerprint"), spotsigs.fingerprint_text(F.col("edited_sigs")).alias("edited_fingerprint"),
+        spotsigs.likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), spotsigs.likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_line_dedup": op2_line_dedup,
@@ -131,6 +152,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_lexical_search": op11_lexical_search,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spot_signatures": op13_spot_signatures,
 }
 
 _NORMAL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
