@@ -10,9 +10,9 @@ length (their Euclidean norm) into buckets of nearly equal norm:
 2. a bucket is skipped for a query when the Cauchy-Schwarz bound (query norm times the
    bucket's largest norm) or the bucket's coordinate bound (query counts times the
    bucket's largest impact per term) is below ``theta``;
-3. inside a kept bucket, where the query's other terms cannot reach ``theta`` without its
-   focus term (the one with the largest bound there), only documents whose impact on the
-   focus term closes the gap are candidates; elsewhere every document that shares a term;
+3. inside a kept bucket, coordinate bounds filter: terms whose bounds together stay below
+   ``theta`` are not essential, and only documents with an essential term whose impact
+   closes the gap left by the other terms' bounds are candidates;
 4. survivors are scored again exactly, in 64-bit integers, and ranked.
 
 Every bound is an upper bound of the exact score, and buckets and candidates are dropped
@@ -131,28 +131,27 @@ def top_k(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), do
     tops = used.groupBy("bucket", "term").agg(F.max("impact").alias("top"))
     norms = used.groupBy("bucket").agg(F.max("norm").alias("top_norm"))
     per_term = query.select("_q", "term", "q").join(tops, "term").withColumn("gain", F.col("q") * F.col("top"))
-    focus = F.max(F.struct("gain", "term", "q", "top")).alias("focus")
-    bounds = per_term.groupBy("_q", "bucket").agg(F.sum("gain").alias("coord"), focus).join(theta, "_q").join(norms, "bucket")
+    bounds = per_term.groupBy("_q", "bucket").agg(F.sum("gain").alias("coord")).join(theta, "_q").join(norms, "bucket")
     # Doubles may round either way: the norm bound gets a margin before it may prune.
     cauchy = F.col("qnorm") * F.col("top_norm") * F.lit(1.0 + 1e-9) + F.lit(1.0)
     kept = stored(bounds.where((F.col("coord") >= F.col("theta")) & (cauchy >= F.col("theta"))), "op11-buckets")
 
-    # 3. candidates inside kept buckets: the focus term's feasible region, or any shared term.
-    rest = F.col("coord") - F.col("focus.gain")
-    narrow = kept.where(rest < F.col("theta")).select(
-        "_q", "bucket", F.col("focus.term").alias("term"),
-        # impact * q >= theta - rest, in integers: impact >= ceil((theta - rest) / q).
-        (F.floor((F.col("theta") - rest + F.col("focus.q") - 1) / F.col("focus.q"))).cast("long").alias("least"),
-    )
-    narrow_docs = narrow.join(used.select("term", "bucket", "_d", "impact"), ["term", "bucket"]).where(F.col("impact") >= F.col("least")).select("_q", "_d")
-    wide = kept.where(rest >= F.col("theta")).select("_q", "bucket").join(query.select("_q", "term", "q"), "_q")
-    wide_scores = (
-        wide.join(used.select("term", "bucket", "_d", "doc_id", "impact"), ["term", "bucket"]).groupBy("_q", "_d", "doc_id").agg(F.sum(F.col("q") * F.col("impact")).alias("score"))
+    # 3. candidates inside kept buckets (MaxScore on the coordinate bounds): by ascending bound, the
+    # query's terms whose bounds sum below theta cannot lift a document to theta on their own, so
+    # only documents holding one of the other, essential terms are candidates; and a document with
+    # term t scores at most q_t * impact + (coord - bound of t), which must still reach theta.
+    running = Window.partitionBy("_q", "bucket").orderBy("gain", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    essential = (
+        per_term.join(kept.select("_q", "bucket", "theta", "coord"), ["_q", "bucket"])
+        .withColumn("_sum", F.sum("gain").over(running))
+        .where(F.col("_sum") >= F.col("theta"))
+        # impact * q >= theta - (coord - gain), in integers: impact >= ceil(that / q).
+        .select("_q", "bucket", "term", F.floor((F.col("theta") - F.col("coord") + F.col("gain") + F.col("q") - 1) / F.col("q")).cast("long").alias("least"))
     )
+    candidates = essential.join(used.select("term", "bucket", "_d", "impact"), ["term", "bucket"]).where(F.col("impact") >= F.col("least")).select("_q", "_d").distinct()
 
     # 4. exact scores and ranks.
-    scores = wide_scores.unionByName(exact(narrow_docs.distinct()))
-    scores = scores.join(theta.select("_q", "theta"), "_q").where(F.col("score") >= F.col("theta"))
+    scores = exact(candidates).join(theta.select("_q", "theta"), "_q").where(F.col("score") >= F.col("theta"))
     named = scores.join(query.select("_q", "item_id").distinct(), "_q")
     order = Window.partitionBy("_q").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"), "_d")
     ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
