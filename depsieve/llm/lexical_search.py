@@ -78,9 +78,11 @@ def impacts(docs: DataFrame, vocabulary: DataFrame | None = None, doc_id: str =
         words = words.join(vocabulary.select("term").distinct(), "term", "left_semi")
     counts = words.groupBy("_d", "doc_id", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = stored(counts, "op11-counts")
+    # Without postings nothing can score, whatever N and L are (and an empty input may have
+    # been optimized away with its observation).
+    if counts.isEmpty():
+        return spark.createDataFrame([], "_d long, doc_id long, term string, impact long, norm double, bucket int")
     big_n, big_l = int(totals.get["N"]), int(totals.get["L"])
-    if big_n == 0:
-        return spark.createDataFrame([], "_d long, doc_id long, term string, impact long, bucket int, norm double")
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     weight = F.floor(F.lit(float(WEIGHT_SCALE)) * F.log((F.lit(2.0 * big_n + 2.0)) / (F.lit(2.0) * F.col("df") + F.lit(1.0))))
     # 25 n N can pass 2^63 on a large corpus: decimal(38) until the division.
