@@ -120,17 +120,20 @@ def op12_merkle_manifest(spark, sf):
 
 def op13_spot_signatures(spark, sf):
     settings = spotsigs.Settings()
-    docs = _table(spark, sf, "documents").select("doc_id", whole_text().alias("text"))
+    docs = _table(spark, sf, "documents").select("doc_id", whole_text().alias("text")).withColumn("_r", F.monotonically_increasing_id())
     anchors = spotsigs.common_words(docs, settings.anchors)
-    keyed = docs.select(F.lit(0).alias("_c"), "doc_id", "text", F.sha2("text", 256).alias("_h"), F.length("text").cast("long").alias("n_chars"))
-    placed = positions(keyed, ["_c"], ["doc_id", "_h"], "op13-order")
-    prints = stored(placed.select("pos", "doc_id", "text", "n_chars", spotsigs.signatures(F.col("text"), anchors, settings).alias("sigs")), "op13-prints")
-    total = prints.count()
-    # The next row by ascending doc_id; after the last, the first.
-    following = prints.select(((F.col("pos") + total - 1) % total).alias("pos"), F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs"))
+    # Places by ascending doc_id are found on a slim table; texts move only to meet their places.
+    slim = docs.select(F.lit(0).alias("_c"), "_r", "doc_id", F.xxhash64("text").alias("_h"), F.length("text").cast("long").alias("n_chars"))
+    placed = positions(slim, ["_c"], ["doc_id", "_h", "_r"], "op13-order")
+    total = placed.count()
+    # Each row cuts the last quarter of its text; the row before it takes that many characters of this one.
+    before = placed.select(((F.col("pos") + 1) % total).alias("pos"), F.floor(F.col("n_chars") / 4).cast("int").alias("_wanted"))
+    placed = stored(placed.select("_r", "pos", "n_chars").join(before, "pos"), "op13-places")
+    rows = docs.select("_r", "doc_id", "text").join(placed, "_r").withColumn("sigs", spotsigs.signatures(F.col("text"), anchors, settings))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    edited = F.concat(F.substring("text", 1, (F.col("n_chars") - cut).cast("int")), F.substring("next_text", 1, cut))
-    both = prints.join(following, "pos").withColumn("edited", edited)
+    current = rows.select("pos", "doc_id", "n_chars", "sigs", F.substring("text", 1, (F.col("n_chars") - cut).cast("int")).alias("kept"))
+    following = rows.select(((F.col("pos") + total - 1) % total).alias("pos"), F.substring("text", 1, F.col("_wanted")).alias("given"), F.col("sigs").alias("next_sigs"))
+    both = current.join(following, "pos").withColumn("edited", F.concat("kept", "given"))
     both = both.withColumn("edited_sigs", spotsigs.signatures(F.col("edited"), anchors, settings))
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
