@@ -126,14 +126,16 @@ def op13_spot_signatures(spark, sf):
     slim = docs.select(F.lit(0).alias("_c"), "_r", "doc_id", F.xxhash64("text").alias("_h"), F.length("text").cast("long").alias("n_chars"))
     placed = positions(slim, ["_c"], ["doc_id", "_h", "_r"], "op13-order")
     total = placed.count()
-    # Each row cuts the last quarter of its text; the row before it takes that many characters of this one.
-    before = placed.select(((F.col("pos") + 1) % total).alias("pos"), F.floor(F.col("n_chars") / 4).cast("int").alias("_wanted"))
-    placed = stored(placed.select("_r", "pos", "n_chars").join(before, "pos"), "op13-places")
+    # Each row cuts the last quarter of its text; the row before it (its taker) takes that many
+    # characters of this one. Both joins are keyed by row, so rows keep their place after the
+    # first and only the given prefixes move again.
+    taker = placed.select(((F.col("pos") + 1) % total).alias("pos"), F.col("_r").alias("_taker"), F.floor(F.col("n_chars") / 4).cast("int").alias("_wanted"))
+    placed = stored(placed.select("_r", "pos", "n_chars").join(taker, "pos"), "op13-places")
     rows = docs.select("_r", "doc_id", "text").join(placed, "_r").withColumn("sigs", spotsigs.signatures(F.col("text"), anchors, settings))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
-    current = rows.select("pos", "doc_id", "n_chars", "sigs", F.substring("text", 1, (F.col("n_chars") - cut).cast("int")).alias("kept"))
-    following = rows.select(((F.col("pos") + total - 1) % total).alias("pos"), F.substring("text", 1, F.col("_wanted")).alias("given"), F.col("sigs").alias("next_sigs"))
-    both = current.join(following, "pos").withColumn("edited", F.concat("kept", "given"))
+    current = rows.select("_r", "doc_id", "n_chars", "sigs", F.substring("text", 1, (F.col("n_chars") - cut).cast("int")).alias("kept"))
+    following = rows.select(F.col("_taker").alias("_r"), F.substring("text", 1, F.col("_wanted")).alias("given"), F.col("sigs").alias("next_sigs"))
+    both = current.join(following, "_r").withColumn("edited", F.concat("kept", "given"))
     both = both.withColumn("edited_sigs", spotsigs.signatures(F.col("edited"), anchors, settings))
     return both.select(
         "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
