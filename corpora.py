@@ -243,10 +243,13 @@ def land(rows: DataFrame, folder: str) -> str:
         from pyarrow import fs
 
         target, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        made = set()
         for batch in batches:
             for path, data in zip(batch["path"], batch["data"]):
                 full = f"{base}/{path}"
-                target.create_dir(full.rsplit("/", 1)[0], recursive=True)
+                if (parent := full.rsplit("/", 1)[0]) not in made:
+                    target.create_dir(parent, recursive=True)
+                    made.add(parent)
                 with target.open_output_stream(full) as out:
                     out.write(bytes(data))
             yield pd.DataFrame({"files": [len(batch)]})
@@ -267,24 +270,32 @@ def landing(spark: SparkSession, label: str) -> str:
 
 
 def land_archives(spark: SparkSession, sf_dir: str) -> str:
-    """One .tgz per document: its file and a manifest, under a leading folder."""
+    """One .tgz per document: its file and a manifest, under a leading folder; some thousands in a folder."""
+    doc = F.regexp_extract("path", r"f(\d+)\.", 1)
     files = package_files(spark, sf_dir).select(
-        F.concat(F.lit("doc-"), F.regexp_extract("path", r"f(\d+)\.", 1), F.lit("-1.0.0.tgz")).alias("path"),
+        F.concat(F.floor(doc.cast("long") / 4096), F.lit("/doc-"), doc, F.lit("-1.0.0.tgz")).alias("path"),
         F.col("path").alias("member"),
         "content",
     )
 
     def build(batches):
+        held, size = [], 0
         for batch in batches:
             for path, member, content in zip(batch["path"], batch["member"], batch["content"]):
                 buffer = io.BytesIO()
-                with tarfile.open(fileobj=buffer, mode="w:gz") as archive:
+                with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as archive:
                     for name, text in ((member, content), ("package.json", json.dumps({"name": member}))):
                         data = text.encode("utf-8")
                         info = tarfile.TarInfo(f"package/{name}")
                         info.size = len(data)
                         archive.addfile(info, io.BytesIO(data))
-                yield pd.DataFrame({"path": [path], "data": [buffer.getvalue()]})
+                held.append((path, buffer.getvalue()))
+                size += 100 + len(held[-1][1])
+                if size >= 4 << 20:
+                    yield pd.DataFrame(held, columns=["path", "data"])
+                    held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["path", "data"])
 
     return land(files.mapInPandas(build, "path STRING, data BINARY"), landing(spark, "archives"))
 

@@ -18,6 +18,7 @@ MAX_MEMBER_BYTES = 640 << 20
 _MANIFEST_BYTES = 16 << 20
 _DAMAGED = (tarfile.TarError, EOFError, OSError, ValueError, zlib.error)
 _FRAME_CHARS = 8 << 20
+_UNPACKED_BYTES = 32 << 20
 
 
 def _frames(rows: Iterable[dict]) -> Iterator[pd.DataFrame]:
@@ -40,7 +41,17 @@ def _inner_path(member: tarfile.TarInfo) -> str:
     return path if member.isreg() and ".." not in path.split("/") else ""
 
 
-def _survey(data: bytes) -> tuple[str | None, str | None]:
+def _unpacked(data: bytes) -> tuple[bytes, str]:
+    """A small whole archive unpacked once, for all later passes, else as it is; and tarfile's mode."""
+    stream = zlib.decompressobj(31)
+    try:
+        plain = stream.decompress(data, _UNPACKED_BYTES)
+    except zlib.error:
+        return data, "r:gz"
+    return (plain, "r:") if stream.eof and not stream.unused_data else (data, "r:gz")
+
+
+def _survey(data: bytes, mode: str) -> tuple[str | None, str | None]:
     """The name in an archive's root manifest, and what is wrong with the archive.
 
     The stream is read to its end, where gzip keeps checksum and length. A header that is
@@ -48,7 +59,7 @@ def _survey(data: bytes) -> tuple[str | None, str | None]:
     """
     name = None
     try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as archive:
+        with tarfile.open(fileobj=io.BytesIO(data), mode=mode) as archive:
             for member in archive:
                 if _inner_path(member) == "package.json" and member.size <= _MANIFEST_BYTES:
                     try:
@@ -69,10 +80,11 @@ def _survey(data: bytes) -> tuple[str | None, str | None]:
 
 def _members(archive_path: str, data: bytes, max_bytes: int) -> Iterator[dict]:
     """The regular files of one archive, and one row with the error if it is damaged."""
-    name, damage = _survey(data)
+    data, mode = _unpacked(data)
+    name, damage = _survey(data, mode)
     row = {"archive": archive_path, "name": name, "path": None, "content": None, "content_error": None}
     try:
-        with tarfile.open(fileobj=io.BytesIO(data), mode="r:gz") as archive:
+        with tarfile.open(fileobj=io.BytesIO(data), mode=mode) as archive:
             for member in archive:
                 path = _inner_path(member)
                 if not path:
@@ -132,13 +144,39 @@ def _named(rows: DataFrame) -> DataFrame:
 
 
 def ingest_archives(spark: SparkSession, folder: str, max_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
-    """Package files of all ``<name>-<version>.tgz`` archives in a landing folder."""
-    archives = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.tgz")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-    )
+    """Package files of all ``<name>-<version>.tgz`` archives in a landing folder.
+
+    Names that start with a dot or an underscore are left out, as in Spark's file sources.
+    Tasks list what is below the folder and read the archives. A folder that only Spark can
+    open, or a pattern, goes through its own source, with the list of files on the driver.
+    """
+    try:
+        if set(folder) & set("*?[]{}"):
+            raise ValueError("a pattern, not a folder")
+        _open(folder)
+    except (ValueError, OSError):
+        archives = (
+            spark.read.format("binaryFile")
+            .option("pathGlobFilter", "*.tgz")
+            .option("recursiveFileLookup", "true")
+            .load(folder)
+        )
+        # Spark counts each file as 4 MB, which makes a task of every few archives.
+        return unpack_archives(archives.coalesce(_tasks(spark)), max_bytes)
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, _ = _open(folder)
+
+        def rows():
+            for batch in batches:
+                for full in batch["full"]:
+                    with target.open_input_stream(full, compression=None) as stream:
+                        yield {"path": full, "content": stream.read()}
+
+        yield from _frames(rows())
+
+    found = _files_below(spark, folder, hidden=False).where(F.col("full").endswith(".tgz"))
+    archives = found.select("full").repartition(_tasks(spark), "full").mapInPandas(contents, "path STRING, content BINARY")
     return unpack_archives(archives, max_bytes)
 
 
@@ -156,24 +194,25 @@ def _open(uri: str):
     return fs.FileSystem.from_uri(uri if ":" in uri.split("/", 1)[0] else f"file://{uri}")
 
 
-def read_package_tree(spark: SparkSession, folder: str, max_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
-    """Package files of extracted trees: ``<package>/<version>/<path>``.
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for rows of few bytes but much work each; by size, adaptive execution would merge them into very few."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
-    A scoped package takes two folders (``@scope/name``). Spark's own file sources skip
-    every name that starts with a dot or an underscore, which is where a package may
-    hide code, so tasks list and read the files themselves. The driver sees only the
-    names of the top folders. Tasks open two more levels, each spread anew, then walk
-    what is below; the files found are spread evenly over new tasks before they are read.
+
+def _files_below(spark: SparkSession, folder: str, hidden: bool = True) -> DataFrame:
+    """(full, size) of all files below a folder, with or without what hidden names hold.
+
+    The driver sees only the names in the folder itself. Tasks open two more levels, each
+    spread anew, then walk what is below.
     """
     from pyarrow import fs
 
     system, base = _open(folder)
-    tops = [(i.path, 0, i.type == fs.FileType.Directory) for i in system.get_file_info(fs.FileSelector(base))]
     entry = "full STRING, size LONG, is_folder BOOLEAN"
 
     def children(target, full: str) -> Iterator[tuple]:
         for info in target.get_file_info(fs.FileSelector(full)):
-            if info.type in (fs.FileType.File, fs.FileType.Directory):
+            if info.type in (fs.FileType.File, fs.FileType.Directory) and (hidden or info.base_name[0] not in "._"):
                 yield info.path, info.size or 0, info.type == fs.FileType.Directory
 
     def open_folders(deep: bool):
@@ -198,6 +237,22 @@ def read_package_tree(spark: SparkSession, folder: str, max_bytes: int = MAX_MEM
 
         return run
 
+    listed = spark.createDataFrame(list(children(system, base)), entry)
+    for deep in (False, False, True):
+        listed = listed.repartition("full").mapInPandas(open_folders(deep), entry)
+    return listed.select("full", "size")
+
+
+def read_package_tree(spark: SparkSession, folder: str, max_bytes: int = MAX_MEMBER_BYTES) -> DataFrame:
+    """Package files of extracted trees: ``<package>/<version>/<path>``.
+
+    A scoped package takes two folders (``@scope/name``). Spark's own file sources skip
+    every name that starts with a dot or an underscore, which is where a package may
+    hide code, so tasks list and read the files themselves; the files found are spread
+    evenly over new tasks before they are read.
+    """
+    _, base = _open(folder)
+
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         target, _ = _open(folder)
 
@@ -217,12 +272,9 @@ def read_package_tree(spark: SparkSession, folder: str, max_bytes: int = MAX_MEM
 
         yield from _frames(rows())
 
-    listed = spark.createDataFrame(tops, entry)
-    for deep in (False, False, True):
-        listed = listed.repartition("full").mapInPandas(open_folders(deep), entry)
     files = (
-        listed.select("full", "size")
-        .repartition("full")
+        _files_below(spark, folder)
+        .repartition(_tasks(spark), "full")
         .mapInPandas(contents, "file STRING, content STRING, content_error STRING")
     )
     pattern = r"^((?:@[^/]+/)?[^/]+)/([^/]+)/(.+)$"

@@ -45,6 +45,25 @@ def test_archives(spark, tmp_path):
     }
 
 
+def test_many_small_archives_take_few_tasks(spark, tmp_path):
+    for k in range(120):
+        folder = tmp_path / f"{k % 3}" / f"{k % 5}"
+        folder.mkdir(parents=True, exist_ok=True)
+        _tgz(folder / f"p{k}-1.0.0.tgz", [("package/a.js", b"x" * k)])
+    for hidden in (tmp_path / "_h-1.0.0.tgz", tmp_path / ".h" / "h-1.0.0.tgz", tmp_path / "0" / ".h-1.0.0.tgz"):
+        hidden.parent.mkdir(exist_ok=True)
+        _tgz(hidden, [("package/a.js", b"x")])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    try:
+        for folder in (str(tmp_path), f"{tmp_path}/[0-2]"):
+            files = ds.ingest_archives(spark, folder)
+            assert files.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+            assert {(r.package, len(r.content)) for r in files.collect()} == {(f"p{k}", k) for k in range(120)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_damaged_archives_are_reported(spark, tmp_path):
     whole = io.BytesIO()
     with tarfile.open(fileobj=whole, mode="w:gz") as archive:
