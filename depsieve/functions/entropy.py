@@ -1,7 +1,7 @@
 """Shannon entropy of a text column."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -10,6 +10,8 @@ _CHUNK = 1 << 20
 
 
 def _entropy(text: str) -> float:
+    if not text:
+        return 0.0
     counts = np.zeros(0, dtype=np.int64)
     units = 0
     for start in range(0, len(text), _CHUNK):
@@ -25,9 +27,10 @@ def _entropy(text: str) -> float:
     return float(-(share * np.log2(share)).sum())
 
 
-@F.pandas_udf(DoubleType())
-def _entropy_batch(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else (_entropy(t) if t else 0.0)).astype("float64")
+@F.arrow_udf(DoubleType())
+def _entropy_batch(texts: pa.Array) -> pa.Array:
+    # One text at a time becomes a Python string, never a whole batch.
+    return pa.array((_entropy(t.as_py()) if t.is_valid else None for t in texts), pa.float64())
 
 
 def shannon_entropy(text: Column) -> Column:

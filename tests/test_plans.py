@@ -2,10 +2,12 @@
 
 import re
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import depsieve as ds
-from depsieve.session import shared_folder
+from depsieve.session import materialize, shared_folder
 
 
 def final_plan(df):
@@ -63,3 +65,15 @@ def test_large_lists_do_not_use_nested_loops(spark):
 
 def test_shared_folder_is_the_sessions(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_stored_tables_hand_python_small_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    size = F.pandas_udf(lambda texts: pd.Series([len(texts)] * len(texts)), "long")
+    rows = spark.range(0, 20_000, 1, 2).select(F.repeat(F.lit("x"), F.lit(100)).alias("text"))
+    sizes = materialize(rows.select(size("text").alias("rows")), "batches")
+    assert sizes.agg(F.max("rows")).first()[0] <= 500
+    wide = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), F.lit(1 << 20)).alias("text"))
+    sizes = materialize(wide.select(size("text").alias("rows")), "batches")
+    assert sizes.agg(F.max("rows")).first()[0] <= 16
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
