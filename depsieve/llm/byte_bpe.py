@@ -14,6 +14,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -25,6 +26,8 @@ MEMO_TOKENS = 300_000
 #: Characters up to which a text's pre-tokens are listed at once; longer texts go in slices.
 LIST_CHARS = 4_000_000
 SLICE_TOKENS = 500_000
+#: Rows that are decoded at once.
+DECODED_ROWS = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -188,17 +191,32 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
     return docs.mapInArrow(run, schema)
 
 
+def _joined(column: pa.ListArray, entries: pa.LargeBinaryArray) -> pa.Array:
+    """The entries of each row's ids, one after another.
+
+    What is taken stands side by side in one buffer, so the rows only need their ends in it.
+    """
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a null among the ids")
+    taken = entries.take(flat)
+    places = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1) if len(taken) else np.zeros(1, np.int64)
+    ends = places[np.cumsum([0, *pc.fill_null(pc.list_value_length(column), 0).to_numpy()])]
+    buffers = [None, pa.py_buffer(ends), taken.buffers()[2] or pa.py_buffer(b"")]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), buffers).cast(pa.binary())
+
+
 def bpe_decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", drop_ids: bool = False) -> DataFrame:
     """The input with decoded (binary): the bytes of each row's ids, one after another.
 
-    Null arrays give empty bytes; an id beyond the vocabulary fails the job, as a silent gap
+    Null arrays give empty bytes; an id outside the vocabulary fails the job, as a silent gap
     would be a wrong text. A decoded column of the input is replaced.
     """
     ranks = read_ranks(ranks_path)
     vocabulary = [b""] * (max(ranks.values(), default=-1) + 1)
     for entry, rank in ranks.items():
         vocabulary[rank] = entry
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared = encoded.sparkSession.sparkContext.broadcast(pa.array(vocabulary, pa.large_binary()))
     kept = without(encoded.schema, ("decoded", *([ids] if drop_ids else [])))
     schema = T.StructType([*kept, T.StructField("decoded", T.BinaryType())])
     names = kept.names
@@ -206,9 +224,10 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", drop
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = shared.value
         for batch in batches:
-            column = batch.column(batch.schema.names.index(ids))
-            rows = [b"".join([entries[i] for i in row.values.to_numpy().tolist()]) if row.is_valid else b"" for row in column]
-            yield add_columns(batch, names, decoded=pa.array(rows, pa.binary()))
+            for at in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(at, DECODED_ROWS)
+                column = part.column(part.schema.names.index(ids))
+                yield add_columns(part, names, decoded=_joined(column, entries))
 
     return encoded.mapInArrow(run, schema)
 

@@ -71,6 +71,17 @@ def test_automaton_on_random_vocabularies():
             assert automaton.count(text) == pieces
 
 
+def test_bpe_decode_joins_entries_by_row_and_takes_no_id_from_outside(spark):
+    entry = {rank: token for token, rank in byte_bpe.read_ranks(BPE).items()}
+    rows = [(k, None if k % 7 == 0 else [(k * 31 + j) % 50_000 for j in range(k % 5)]) for k in range(700)]
+    good = spark.createDataFrame(rows, "k long, token_ids array<int>").coalesce(1)
+    found = {r.k: bytes(r.decoded) for r in byte_bpe.bpe_decode(good, BPE).collect()}
+    assert found == {k: b"".join(entry[i] for i in ids or []) for k, ids in rows}
+    for wrong in (-1, 10**8, None):
+        with pytest.raises(Exception):
+            byte_bpe.bpe_decode(spark.createDataFrame([(0, [1, wrong])], good.schema), BPE).collect()
+
+
 def test_bpe_equals_the_library_and_round_trips(docs):
     ranks = byte_bpe.read_ranks(BPE)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
