@@ -135,6 +135,7 @@ class Index:
         for i, n in enumerate(lengths):
             by_class.setdefault(max(32, 1 << (n - 1).bit_length()), []).append(i)
         self.marks = np.zeros(len(self.vocabulary) + 1, bool)
+        self.places = np.full(len(self.vocabulary) + 1, -1, np.int32)
         self.classes = [self._class(stride, own, weights, place) for stride, own in sorted(by_class.items())]
 
     def _missing(self, parts: list[tuple], share: dict[int, float]) -> float:
@@ -207,19 +208,45 @@ class Index:
             pair = np.repeat(c.pairs_from[own] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
             sums = np.bincount(np.repeat(at, many) * c.n_blocks + c.pair_block[pair], c.pair_most[pair], (step + 2) * c.n_blocks).reshape(-1, c.n_blocks)
             both = sums[:step] + sums[1 : step + 1]
-            for cell, block in zip(*np.nonzero(both + c.slack >= s.score - 1e-9), strict=True):
-                cell = int(cell) + low
-                row = int(np.searchsorted(cells_before, cell, "right")) - 1
-                if row >= len(ends) - 1:
-                    continue
-                first = int(ends[row]) + (cell - int(cells_before[row])) * c.stride
-                window = slice(first, min(first + 2 * c.stride, int(ends[row + 1])))
+            near, blocks = np.nonzero(both + c.slack >= s.score - 1e-9)
+            near += low
+            rows = np.searchsorted(cells_before, near, "right") - 1
+            near, blocks, rows = (x[rows < len(ends) - 1] for x in (near, blocks, rows))
+            firsts = ends[rows] + (near - cells_before[rows]) * c.stride
+            stops = np.minimum(firsts + 2 * c.stride, ends[rows + 1])
+            for i in self._reaching(c, blocks, firsts, stops, term):
+                row, block, window = int(rows[i]), blocks[i], slice(firsts[i], stops[i])
                 for item, score, overlaps in self._look(c, int(block), words[window], term[window]):
                     if (row, item) not in found or found[row, item] < (score, *overlaps):
                         found[row, item] = (score, *overlaps)
         for (row, item), values in sorted(found.items()):
             yield row, item, *values
 
+    def _reaching(self, c: _Class, blocks: np.ndarray, firsts: np.ndarray, stops: np.ndarray, term: np.ndarray) -> Iterator[int]:
+        """The places of those passages in which an item of the block beside them may reach the threshold.
+
+        Scores of many passages are summed at once, so in another order than one alone: the
+        threshold is a little lower here.
+        """
+        order = np.argsort(blocks, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(blocks[order])) + 1):
+            if not len(own):
+                continue
+            terms, weights = c.block_terms[blocks[own[0]]], c.block_weights[blocks[own[0]]]
+            # The last place takes the words that no item has.
+            self.places[terms] = np.arange(len(terms))
+            for at in range(0, len(own), 4096):
+                part = own[at : at + 4096]
+                many = np.maximum(stops[part] - firsts[part], 0)
+                begins = np.cumsum(many) - many
+                here = self.places[term[np.repeat(firsts[part] - begins, many) + np.arange(many.sum())]]
+                held = np.zeros((len(part), len(terms)), bool)
+                held[np.repeat(np.arange(len(part)), many)[here >= 0], here[here >= 0]] = True
+                passage, which = np.nonzero(held)
+                best = np.max([np.bincount(passage, weight[which], len(part)) for weight in weights.T], axis=0)
+                yield from part[best >= self.settings.score - 1e-8].tolist()
+            self.places[terms] = -1
+
     def _look(self, c: _Class, block: int, words: np.ndarray, term: np.ndarray):
         """Items of a block that reach the threshold in one passage and are verified."""
         s = self.settings

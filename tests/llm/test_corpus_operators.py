@@ -289,3 +289,22 @@ def test_pipeline_stages(spark):
     items = [" ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert not any(item in " ".join((r.text or "").lower().split()) for item in items for r in rows)
     assert len(rows) > 0.7 * docs.count()
+
+
+def test_passages_are_scored_together():
+    rnd = random.Random(11)
+    items = [(k, " ".join(rnd.choices([f"w{i}" for i in range(60)], k=rnd.randint(6, 40)))) for k in range(30)]
+    words = [decontamination._words_of(t) for _, t in items]
+    counts = collections.Counter(w for own in words for w in set(own.tolist()))
+    index = decontamination.Index(items, counts, len(items), sum(map(len, words)) / len(words), decontamination.Settings())
+    texts = [" ".join(rnd.choices([f"w{i}" for i in range(90)], k=rnd.randint(0, 200))) for _ in range(300)]
+    texts += [f"{texts[k]} {t} {texts[-k]}" for k, t in items]
+    looked = []
+    look = index._look
+    index._look = lambda *args: looked.append(0) or list(look(*args))
+    found = list(index.hits(pa.array(texts)))
+    together = len(looked)
+    # Without the common scores each passage near a block is looked at alone.
+    index._reaching = lambda c, blocks, firsts, stops, term: iter(range(len(blocks)))
+    assert list(index.hits(pa.array(texts))) == found and {h[1] for h in found} == set(range(30))
+    assert together < (len(looked) - together) / 2
