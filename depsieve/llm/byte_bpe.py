@@ -1,8 +1,9 @@
 """Byte-level BPE: two-tier encoding, and decoding.
 
 A pre-token that is a vocabulary entry is resolved by a minimal perfect hash over the
-vocabulary (hash, displace and compare). Any other is merged with a heap of candidate pairs
-over a doubly linked list of bytes, so a run of n bytes costs O(n log n), never n squared.
+vocabulary (hash, displace and compare). Any other is merged over a doubly linked list of
+bytes: a long one with a heap of candidate pairs, so a run of n bytes costs O(n log n), never
+n squared; the many short ones side by side in numpy, one merge of each at a time.
 """
 
 import base64
@@ -23,6 +24,10 @@ from .common import add_columns, texts_of, without, worker_memo
 
 #: Distinct pre-tokens whose ids a worker keeps; it starts anew when there are more.
 MEMO_TOKENS = 300_000
+#: Characters of texts whose pre-tokens are looked up together.
+GROUP_CHARS = 1_000_000
+#: Bytes up to which pre-tokens are merged side by side, and how many at a time.
+SHORT, SIDE_BY_SIDE = 32, 8192
 #: Characters up to which a text's pre-tokens are listed at once; longer texts go in slices.
 LIST_CHARS = 4_000_000
 SLICE_TOKENS = 500_000
@@ -132,38 +137,127 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Encoder:
-    """Pre-token to the little-endian bytes of its ids, remembered for repeats."""
+class ShortMerges:
+    """merge_bytes for many pieces of at most SHORT bytes at once."""
 
-    def __init__(self, ranks: dict[bytes, int], hashed: PerfectHash, pattern: str):
-        self.ranks, self.hashed = ranks, hashed
-        self.pattern = regex.compile(pattern)
-        encoder = self
+    def __init__(self, ranks: dict[bytes, int]):
+        self.byte = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
+        self.none = self.size = max(ranks.values(), default=-1) + 1
+        # Each way to put an entry together from two others.
+        pairs = [
+            (a * self.size + b, whole)
+            for entry, whole in ranks.items()
+            for k in range(1, len(entry))
+            if (a := ranks.get(entry[:k])) is not None and (b := ranks.get(entry[k:])) is not None
+        ]
+        pairs = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+        self.pairs, self.whole = np.append(pairs[:, 0], np.int64(2**63 - 1)), np.append(pairs[:, 1], self.none).astype(np.int32)
+
+    def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a * np.int64(self.size) + b
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.whole[at], self.none)
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece, as little-endian bytes, in the order of ``pieces``."""
+        found: list[bytes] = [b""] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        for at in range(0, len(order), SIDE_BY_SIDE):
+            part = order[at : at + SIDE_BY_SIDE]
+            for i, ids in zip(part, self._merge([pieces[i] for i in part]), strict=True):
+                found[i] = ids
+        return found
+
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        n, width = np.array([len(p) for p in pieces]), len(pieces[-1])
+        place = np.arange(width)
+        begins = place < n[:, None]  # a part begins at this byte
+        ids = np.zeros((len(pieces), width), np.int64)
+        ids[begins] = self.byte[np.frombuffer(b"".join(pieces), np.uint8)]
+        after = np.broadcast_to(place + 1, ids.shape).copy()
+        before = np.broadcast_to(place - 1, ids.shape).copy()
+        # The rank of the part that begins here with the one after it.
+        rank = np.full(ids.shape, self.none, np.int32)
+        both = begins[:, 1:]
+        rank[:, :-1][both] = self._rank(ids[:, :-1][both], ids[:, 1:][both])
+        rows = np.arange(len(pieces))
+        while len(rows):
+            i = rank[rows].argmin(1)  # the leftmost on ties
+            least = rank[rows, i]
+            rows, i, least = (x[least < self.none] for x in (rows, i, least))
+            gone = after[rows, i]
+            stop = after[rows, gone]
+            ids[rows, i], after[rows, i] = least, stop
+            begins[rows, gone], rank[rows, gone] = False, self.none
+            rank[rows, i] = self.none
+            on = stop < n[rows]
+            r, here, there = rows[on], i[on], stop[on]
+            before[r, there] = here
+            rank[r, here] = self._rank(ids[r, here], ids[r, there])
+            on = i > 0
+            r, here = rows[on], i[on]
+            there = before[r, here]
+            rank[r, there] = self._rank(ids[r, there], ids[r, here])
+        flat = ids[begins].astype("<i4").tobytes()
+        ends = np.cumsum(begins.sum(1)) * 4
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-        class Memo(dict):
-            def __missing__(self, token: str) -> bytes:
-                if len(self) >= MEMO_TOKENS:
-                    self.clear()
-                found = encoder.ids_of(token.encode("utf-8", "replace"))
-                found = np.array(found, "<i4").tobytes()
-                if len(token) <= 64:
-                    self[token] = found
-                return found
 
-        self.memo = Memo()
+class Encoder:
+    """Pre-token to the little-endian bytes of its ids, remembered for repeats."""
 
-    def ids_of(self, token: bytes) -> list[int]:
-        whole = self.hashed.get(token)
-        return [whole] if whole >= 0 else merge_bytes(token, self.ranks)
+    def __init__(self, ranks: dict[bytes, int], hashed: PerfectHash, short: ShortMerges, pattern: str):
+        self.ranks, self.hashed, self.short = ranks, hashed, short
+        self.pattern = regex.compile(pattern)
+        self.memo: dict[str, bytes] = {}
+
+    def _learn(self, tokens: set[str]) -> None:
+        """Put the ids of tokens into the memo."""
+        pieces, merged = [], []
+        for token in tokens:
+            own = token.encode("utf-8", "replace")
+            whole = self.hashed.get(own)
+            if whole >= 0:
+                self.memo[token] = whole.to_bytes(4, "little")
+            elif len(own) <= SHORT:
+                pieces.append(own)
+                merged.append(token)
+            else:
+                self.memo[token] = np.array(merge_bytes(own, self.ranks), "<i4").tobytes()
+        self.memo.update(zip(merged, self.short.merge(pieces), strict=True))
+
+    def _look_up(self, lists: list[list[str]]) -> list[bytes]:
+        """The ids of each list's tokens, one after another."""
+        new = set().union(*lists).difference(self.memo)
+        if new and len(self.memo) + len(new) > MEMO_TOKENS:
+            self.memo.clear()
+            new = set().union(*lists)
+        self._learn(new)
+        found = [b"".join(map(self.memo.__getitem__, tokens)) for tokens in lists]
+        for token in new:
+            if len(token) > 64:
+                del self.memo[token]
+        return found
+
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        at = 0
+        while at < len(texts):
+            if len(texts[at]) > LIST_CHARS:
+                tokens, parts = (m.group() for m in self.pattern.finditer(texts[at])), []
+                while part := list(islice(tokens, SLICE_TOKENS)):
+                    parts += self._look_up([part])
+                found, stop = [b"".join(parts)], at + 1
+            else:
+                stop, chars = at, 0
+                while stop < len(texts) and len(texts[stop]) <= LIST_CHARS and (stop == at or chars + len(texts[stop]) <= GROUP_CHARS):
+                    chars += len(texts[stop])
+                    stop += 1
+                found = self._look_up([self.pattern.findall(t) for t in texts[at:stop]])
+            yield from (np.frombuffer(f, "<i4") for f in found)
+            at = stop
 
     def encode(self, text: str) -> np.ndarray:
-        look_up = self.memo.__getitem__
-        if len(text) <= LIST_CHARS:
-            return np.frombuffer(b"".join(map(look_up, self.pattern.findall(text))), "<i4")
-        found, parts = (m.group() for m in self.pattern.finditer(text)), []
-        while part := b"".join(map(look_up, islice(found, SLICE_TOKENS))):
-            parts.append(part)
-        return np.frombuffer(b"".join(parts), "<i4")
+        return next(self.encode_all([text]))
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", drop_text: bool = False) -> DataFrame:
@@ -171,10 +265,10 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
     No special tokens: their spellings are ordinary text. Null texts count as empty and get
     an empty array. A token_ids column of the input is replaced. No rows in, no rows out.
-    Ranks and the perfect hash are broadcast once; their size is that of the rank file.
+    Ranks, perfect hash and pairs are broadcast once; their size is that of the rank file.
     """
     ranks = read_ranks(ranks_path)
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks), ShortMerges(ranks)))
     kept = without(docs.schema, ("token_ids", *([text] if drop_text else [])))
     schema = T.StructType([*kept, T.StructField("token_ids", T.ArrayType(T.IntegerType()))])
     names = kept.names
@@ -182,7 +276,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_memo(("bpe", ranks_path, pattern), lambda: Encoder(*shared.value, pattern))
         for batch in batches:
-            ids = [encoder.encode(t) for t in texts_of(batch.column(batch.schema.names.index(text)))]
+            ids = list(encoder.encode_all(texts_of(batch.column(batch.schema.names.index(text)))))
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))

@@ -92,6 +92,27 @@ def test_bpe_equals_the_library_and_round_trips(docs):
         assert bytes(row.decoded) == (row.text or "").encode()
 
 
+def test_short_pieces_are_merged_as_alone():
+    ranks = byte_bpe.read_ranks(BPE)
+    rnd = random.Random(5)
+    entries = list(ranks)
+    pieces = [bytes(rnd.choices(range(256), k=rnd.randint(1, byte_bpe.SHORT))) for _ in range(2000)]
+    pieces += [b"".join(rnd.choices(entries, k=3))[: byte_bpe.SHORT] for _ in range(8000)]
+    pieces += [c * k for c in (b"a", b"ab", b" ") for k in range(1, byte_bpe.SHORT // 2)]
+    alone = [np.array(byte_bpe.merge_bytes(p, ranks), "<i4").tobytes() for p in pieces]
+    assert byte_bpe.ShortMerges(ranks).merge(pieces) == alone
+
+
+def test_texts_in_groups_and_slices_are_encoded_as_alone(monkeypatch):
+    ranks = byte_bpe.read_ranks(BPE)
+    parts = ranks, byte_bpe.PerfectHash(ranks), byte_bpe.ShortMerges(ranks), public_tokenizers.PATTERN
+    texts = ["", "One two  three\n", "x" * 70 + " \n y", "Ünï " * 40, "中文 🙂 's 12", "", "a b c d e f g h " * 9]
+    alone = [byte_bpe.Encoder(*parts).encode(t).tolist() for t in texts]
+    for name, value in (("GROUP_CHARS", 30), ("LIST_CHARS", 100), ("SLICE_TOKENS", 7), ("MEMO_TOKENS", 9)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    assert [ids.tolist() for ids in byte_bpe.Encoder(*parts).encode_all(texts)] == alone
+
+
 def test_perfect_hash_is_minimal_and_perfect():
     ranks = {bytes([a, b]): a * 256 + b for a in range(40) for b in range(25)}
     hashed = byte_bpe.PerfectHash(ranks)
