@@ -208,6 +208,19 @@ def test_op13_query_rows(spark):
         assert 0.0 <= r["near_edited"] <= 1.0 and 0.0 <= r["near_next"] <= 1.0
 
 
+def test_op13_shuffles_texts_once(spark):
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    # Without adaptive execution and broadcasts, the plan shows which shuffles are reused.
+    for key, value in zip(before, ("false", "-1")):
+        spark.conf.set(key, value)
+    try:
+        plan = queries.op13_spot_signatures(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert plan.count("documents.parquet") == 1 and "ReusedExchange" in plan
+
+
 def test_similar_pairs_keeps_copies_as_members(spark):
     prints = spark.createDataFrame([(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 4, 6]), (4, [7, 8]), (5, [])], "doc_id long, sigs array<long>")
     members, pairs = spotsigs.similar_pairs(prints, 0.6)
