@@ -11,6 +11,8 @@ round_trip. Empty and null texts pass every stage. Rows that repeat a doc_id sta
 together, as each stage judges alike texts alike. Empty tables pass as empty tables.
 """
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from depsieve.llm import byte_bpe, decontamination, jaccard_join, line_dedup, toxicity
 from depsieve.llm.common import crc_bucket, scratch_of, whole_text
 from depsieve.llm.queries import TOXIC_FROM
-from depsieve.session import new_folder
+from depsieve.session import BATCH_CONF, new_folder
 
 #: Words and percent of similarity from which documents are near-duplicates.
 NEAR = jaccard_join.Settings(words=5, percent=80)
@@ -29,7 +31,19 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
-@scratch_of("pipeline")
+def _stage(function):
+    """A stage is written by its caller, so the batches its tasks get are set for the session."""
+
+    @functools.wraps(function)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, value in BATCH_CONF.items():
+            spark.conf.set(key, value)
+        return function(spark, docs, sf_dir)
+
+    return scratch_of("pipeline")(call)
+
+
+@_stage
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(crc_bucket("doc_id", 4) != 2))
@@ -38,25 +52,25 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return scored.where(F.col("_toxicity") < TOXIC_FROM).select(*docs.columns)
 
 
-@scratch_of("pipeline")
+@_stage
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = line_dedup.remove_repeated_passages(docs)
     return cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
-@scratch_of("pipeline")
+@_stage
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_components(docs, NEAR)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-@scratch_of("pipeline")
+@_stage
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(docs, _benchmark(spark, sf_dir))
 
 
-@scratch_of("pipeline")
+@_stage
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     encoded = byte_bpe.bpe_encode(docs, path, public_tokenizers.PATTERN)

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import add_columns, texts_of, without, worker_memo
+from .common import add_columns, in_parts, texts_of, without, worker_memo
 
 #: Distinct pre-tokens whose ids a worker keeps; it starts anew when there are more.
 MEMO_TOKENS = 300_000
@@ -275,7 +275,7 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_memo(("bpe", ranks_path, pattern), lambda: Encoder(*shared.value, pattern))
-        for batch in batches:
+        for batch in in_parts(batches):
             ids = list(encoder.encode_all(texts_of(batch.column(batch.schema.names.index(text)))))
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
@@ -317,7 +317,7 @@ def bpe_decode(encoded: DataFrame, ranks_path: str, ids: str = "token_ids", drop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries = shared.value
-        for batch in batches:
+        for batch in in_parts(batches):
             for at in range(0, batch.num_rows, DECODED_ROWS):
                 part = batch.slice(at, DECODED_ROWS)
                 column = part.column(part.schema.names.index(ids))

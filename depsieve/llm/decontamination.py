@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_memos, in_parts, stored
 from .words import shingle_hashes, word_hashes
 
 
@@ -197,7 +197,7 @@ class Index:
         places = places[c.pairs_from[term[places] + 1] > c.pairs_from[term[places]]]
         cells = cells_before[row_of[places]] + (places - ends[row_of[places]]) // c.stride
         # As many cells at a time as keep the table of sums small.
-        step = max(4_000_000 // c.n_blocks, 1)
+        step = max(min(1_000_000 // c.n_blocks, int(cells_before[-1])), 1)
         found: dict[tuple[int, int], tuple] = {}
         for low in range(0, int(cells_before[-1]), step):
             here = slice(*np.searchsorted(cells, [low, low + step + 1]))
@@ -332,7 +332,8 @@ def find_contamination(
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            drop_memos()
+            for batch in in_parts(batches):
                 hits = list(shared.value.hits(batch.column(1)))
                 at = pa.array([h[0] for h in hits], pa.int64())
                 items = pa.array([shared.value.ids[h[1]] for h in hits], batch_item_type)
@@ -350,7 +351,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            drop_memos()
+            for batch in in_parts(batches):
                 clean = np.ones(batch.num_rows, bool)
                 clean[[h[0] for h in shared.value.hits(batch.column(batch.schema.names.index(text)).cast(pa.string()))]] = False
                 yield batch.filter(pa.array(clean))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_memos, drop_stored, in_parts, stored
 from .components import connected_components
 from .words import mix, shingle_hashes, word_hashes
 
@@ -134,7 +134,8 @@ def _describe(docs: DataFrame, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = _FrequentTokens(s.frequent_entries), set()
         names = ["doc_id", "n_shingles", "set_id", "histogram", "token", "count"]
-        for batch in batches:
+        drop_memos()
+        for batch in in_parts(batches):
             sizes, ids, bins = [], [], []
             for tokens in _token_sets(batch.column(1), s.words):
                 own = int(_set_id(tokens).astype(np.int64))
@@ -167,7 +168,7 @@ def _index(docs: DataFrame, frequent: np.ndarray, s: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen, one = shared.value, set(), np.uint64(1)
         names = ["sig", "set_id", "n", "odd", "singles", "depth"]
-        for batch in batches:
+        for batch in in_parts(batches):
             sigs, ids, sizes, odd, bins, depths = [], [], [], [], [], []
             for tokens in _token_sets(batch.column(1), s.words):
                 own = _set_id(tokens)
@@ -203,7 +204,7 @@ def _whole_sets(docs: DataFrame, s: Settings) -> DataFrame:
     """(set_id, tokens) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             sets = list(_token_sets(batch.column(1), s.words))
             ids = np.array([_set_id(t) for t in sets], np.uint64).view(np.int64)
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)

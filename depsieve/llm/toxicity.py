@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, texts_of, without, worker_memo
+from .common import add_columns, in_parts, texts_of, without, worker_memo
 
 #: Distinct words whose sums a worker keeps; it starts anew when there are more.
 MEMO_WORDS = 200_000
@@ -84,7 +84,7 @@ _STEPS = 16
 
 def _rows_of(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             rows, weights = zip(*[_features(t, s) for t in texts_of(batch.column(0))], strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([np.minimum(w * _STEPS + 0.5, 32767).astype(np.int16) for w in weights], pa.list_(pa.int16())), batch.column(1)],
@@ -198,7 +198,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", drop_text: bool = F
                 yield from total.tolist()
 
         memo = worker_memo(("toxicity", key), dict)
-        for batch in batches:
+        for batch in in_parts(batches):
             out = np.full(batch.num_rows, bias)
             for i, t in enumerate(texts_of(batch.column(batch.schema.names.index(text)))):
                 if not (words := Counter(_words(t))):
