@@ -267,9 +267,12 @@ def _links(postings: DataFrame, facts: DataFrame, histograms: DataFrame, whole_s
     The first leaders are members with the fewest tokens of their own: of a group of edited
     copies that is the text they were made from, which is linked with most of them.
 
-    ``own`` counts tokens of a set that no other set has indexed. Among sets that have indexed
+    ``own`` counts tokens of a set that no other set has indexed, or in a list of frequent tokens
+    its rare ones: pairs that share one of those are met elsewhere. Among sets that have indexed
     all their rare tokens it bounds what a pair can share, and so the size of any partner:
-    where a list has such sets only, members without a possible partner leave early.
+    where a list has such sets only, members without a possible partner leave early. Edited
+    copies too far from the text they were made from share its frequent tokens only, so that
+    bound keeps them from being compared with all its other copies.
     """
     # From 100 * both >= percent * (n + m - both) and both <= n - own.
     largest = F.floor((100 + s.percent) * (F.col("n") - F.col("own")) / s.percent - F.col("n") + 1e-6)
@@ -356,7 +359,10 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), text: s
     postings = shared.join(facts.select("set_id", "n", "odd", "own", (F.col("depth") == _WHOLE).alias("whole")), "set_id")
     # Lists are split by size band: partners are in the same band or the next.
     band = F.floor(F.log(F.col("n")) / -math.log(s.percent / 100 - 0.01))
-    postings = postings.select("set_id", "n", "odd", "own", "whole", "sig", F.explode(F.array(band, band + 1)).alias("_band"))
+    # Two sets with a rare token in common meet in that token's list, if both have indexed all of
+    # theirs. So in a list of frequent tokens (even) all rare tokens of a set count as its own.
+    own_here = F.when((F.col("sig").bitwiseAND(1) == 1) | ~F.col("whole"), F.col("own")).otherwise(F.col("odd")).alias("own")
+    postings = postings.select("set_id", "n", "odd", own_here, "whole", "sig", F.explode(F.array(band, band + 1)).alias("_band"))
     postings = stored(postings.select(F.xxhash64("sig", "_band").alias("sig"), "set_id", "n", "odd", "own", "whole", F.col("set_id").alias("root")), "op3-banded")
     several = postings.groupBy("sig").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b")).where("_a <> _b").select("sig")
     postings = stored(postings.join(several, "sig"), "op3-postings-0")

@@ -154,6 +154,33 @@ def test_repeated_ids_and_null_ids(spark):
     assert sorted((str(r.doc_id), r.n_shingles, r.component_id) for r in found) == [("2", 28, 2), ("3", 4, 3), ("3", 27, 2), ("3", 27, 2), ("None", 27, 2)]
 
 
+def test_far_edits_of_a_text_are_not_compared_with_all_its_copies(spark, monkeypatch):
+    """Their rare tokens, shared by some of them, tell that the frequent ones are not enough."""
+    rnd = random.Random(8)
+    base = _prose(rnd, 150)
+    edits = [(3 * k, f"edit{k}") for k in range(48)]
+
+    def edited(k):
+        text = list(base)
+        for at, word in rnd.sample(edits, k):
+            text[at] = word
+        return " ".join(text)
+
+    rows = [(0, " ".join(base))] + [(i, edited(1)) for i in range(1, 90)] + [(i, edited(rnd.choice([4, 5]))) for i in range(90, 240)]
+    tested = []
+
+    def counted(df, label):
+        found = common.stored(df, label)
+        if label.startswith("op3-pairs"):
+            tested.append(found.count())
+        return found
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), jaccard_join.Settings(words=4, percent=85)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == _near(rows, 4, 85)
+    assert sum(tested) < 6000
+
+
 def test_connected_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(150), rnd.randrange(150)) for _ in range(110)] + [(k, k + 1) for k in range(200, 260)] + [(5, 5), (None, 3)]
