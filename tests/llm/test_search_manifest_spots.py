@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -73,6 +74,27 @@ def test_search_ties_repeats_and_empty(spark):
     assert lexical_search.top_k(clash, spark.createDataFrame(items, "item_id long, text string")).columns == ["item_id", "rank", "doc_id", "score"]
 
 
+def test_search_in_turns_and_over_any_partitions(spark):
+    """Few queries at once, few seeds, many small tasks: the same rows."""
+    rnd = random.Random(5)
+    word = lambda: rnd.choice(["the", "of", f"w{rnd.randrange(30)}", f"w{rnd.randrange(400)}", "Ünï", "x_y"])
+    docs = [(i % 350, " ".join(word() for _ in range(rnd.randrange(60)))) for i in range(400)] + [(None, "the w1 w2"), (900, None)]
+    docs += [(1000 + i, "the of w1 w1 w2 Ünï") for i in range(40)]
+    items = [(i, " ".join(word() for _ in range(rnd.randrange(1, 25)))) for i in range(30)] + [(40, "zzz"), (41, None)]
+    settings = lexical_search.Settings(k=5, seeds=3, items_at_once=7, bucket_ratio=1.01)
+    got = lexical_search.top_k(
+        spark.createDataFrame(docs, "doc_id long, text string").repartition(9), spark.createDataFrame(items, "item_id long, text string"), settings
+    )
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == _brute_search(docs, items, k=5)
+
+
+def test_search_reads_long_texts_as_short_ones(monkeypatch):
+    ids, text = {b"a": 0, "é".encode(): 1}, "A b é_a\x7fÉ a1 ".encode() * 3
+    short = lexical_search._term_counts(text, ids)
+    monkeypatch.setattr(lexical_search, "_LIST_BYTES", 1)
+    assert short == lexical_search._term_counts(text, ids) == (18, {0: 6, 1: 3})
+
+
 # --- op12 ---------------------------------------------------------------------------
 
 
