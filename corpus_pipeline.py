@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depsieve.llm import byte_bpe, decontamination, jaccard_join, line_dedup, toxicity
-from depsieve.llm.common import crc_bucket, scratch_of, whole_text
+from depsieve.llm.common import crc_bucket, scratch_of, stored, whole_text
 from depsieve.llm.queries import TOXIC_FROM
 from depsieve.session import BATCH_CONF, new_folder
 
@@ -73,7 +73,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 @_stage
 def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    encoded = byte_bpe.bpe_encode(docs, path, public_tokenizers.PATTERN)
+    # Stored before it is decoded: in one stage every task would keep two Python workers.
+    encoded = stored(byte_bpe.bpe_encode(docs, path, public_tokenizers.PATTERN), "pipeline-encoded")
     decoded = byte_bpe.bpe_decode(encoded, path)
     return decoded.select(
         *docs.columns,

@@ -11,6 +11,7 @@ was never seen still shares n-grams with words that were, which is what catches
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, in_parts, texts_of, without, worker_memo
+from .common import add_columns, drop_memos, in_parts, texts_of, without, worker_memo
 
 #: Distinct words whose sums a worker keeps; it starts anew when there are more.
 MEMO_WORDS = 200_000
@@ -84,6 +85,7 @@ _STEPS = 16
 
 def _rows_of(s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memos()
         for batch in in_parts(batches):
             rows, weights = zip(*[_features(t, s) for t in texts_of(batch.column(0))], strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays(
@@ -102,6 +104,17 @@ class Model:
     bias: float
 
 
+def in_order(bags: list[tuple[np.ndarray, np.ndarray, int]]) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Bags by kind, size and content, whatever order they came in.
+
+    Contents are copied for comparison only among bags of one kind and size.
+    """
+    found = []
+    for _, alike in groupby(sorted(bags, key=lambda b: (b[2], len(b[0]))), key=lambda b: (b[2], len(b[0]))):
+        found += sorted(alike, key=lambda b: (b[0].tobytes(), b[1].tobytes()))
+    return found
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> Model:
     """Joint training of table and softmax by minibatch AdaGrad on the cross entropy."""
     rng = np.random.default_rng(s.seed)
@@ -160,12 +173,12 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), tex
     bags = met.mapInArrow(_rows_of(settings), "rows array<int>, weights array<smallint>, toxic int")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memos()
         known = []
         for batch in batches:
             for rows, weights, toxic in zip(*batch.columns, strict=True):
                 known.append((rows.values.to_numpy(), weights.values.to_numpy(), min(max(toxic.as_py(), 0), 1)))
-        known.sort(key=lambda b: (b[2], len(b[0]), b[0].tobytes(), b[1].tobytes()))
-        model = train(known, settings)
+        model = train(in_order(known), settings)
         yield pa.RecordBatch.from_arrays([pa.array([model.weight], pa.list_(pa.float64())), pa.array([model.bias])], names=["weight", "bias"])
 
     # One task, and so one machine, for at most sample_docs texts.

@@ -343,3 +343,25 @@ def test_batches_are_worked_on_in_parts():
     parts = list(common.in_parts(iter([batch.slice(0, 0), batch])))
     assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
     assert all(p.num_rows <= common.PART_ROWS and (p.num_rows == 1 or p.nbytes <= common.PART_BYTES) for p in parts)
+
+
+def test_training_drops_what_other_operators_kept(spark):
+    common.worker_memo("another operator's", dict)
+    list(toxicity._rows_of(toxicity.Settings())(iter([pa.record_batch([["some text"], pa.array([1], pa.int32())], names=["_text", "toxic"])])))
+    assert not common._memo
+
+
+def test_training_order_is_that_of_whole_contents():
+    rnd = np.random.default_rng(3)
+    bags = [(rnd.integers(0, 4, n).astype(np.int32), rnd.integers(0, 3, n).astype(np.int16), int(rnd.integers(0, 2))) for n in rnd.integers(0, 4, 300)]
+    plain = lambda b: (b[2], len(b[0]), b[0].tobytes(), b[1].tobytes())
+    assert [plain(b) for b in toxicity.in_order(bags)] == sorted(map(plain, bags))
+
+
+def test_last_stage_runs_one_python_worker_a_task(spark):
+    docs = spark.createDataFrame([(1, "two words", "en", "s", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    import corpus_pipeline
+
+    last = corpus_pipeline.byte_bpe_stage(spark, docs, "")
+    assert last._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert last.collect()[0].round_trip
