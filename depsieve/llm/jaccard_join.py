@@ -226,46 +226,43 @@ def _most_common(x: Column, y: Column) -> Column:
     return F.aggregate(both, F.lit(0), lambda a, c: a + c)
 
 
-def _possible(pairs: DataFrame, facts: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) that their own tokens allow to be linked; no link is lost.
+def _likely(pairs: DataFrame, facts: DataFrame, s: Settings) -> DataFrame:
+    """Pairs (a, b) that their own tokens and their histograms allow to be linked; no link is
+    lost. first_a and first_b are documents that hold the sets.
 
     A token that only one set has indexed cannot be in another set that would have indexed it:
-    one whose depth is beyond that token. So only tokens below the other's depth count.
+    one whose depth is beyond that token. So only tokens below the other's depth count. A bin of
+    a histogram stops counting at 32,767, so where one is full it tells nothing.
     """
-    x, y = ([F.col(c).alias(f"{c}_{k}") for c in ("n", "own", "own_below", "depth")] for k in "ab")
-    met = pairs.join(facts.select(F.col("set_id").alias("a"), *x), "a").join(facts.select(F.col("set_id").alias("b"), *y), "b")
+    x, y = ([F.col("set_id").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("n", "own", "own_below", "depth", "histogram", "first")]] for k in "ab")
+    met = pairs.join(facts.select(*x), "a").join(facts.select(*y), "b")
+
+    def linked_with(both):
+        return 100 * both >= s.percent * (F.col("n_a") + F.col("n_b") - both)
 
     def without_own(k, other):
         depth = F.col(f"depth_{other}")
         below = F.coalesce(F.get(f"own_below_{k}", F.least(depth, F.lit(_BINS)) - 1), F.lit(0))
         return F.col(f"n_{k}") - F.when(depth == _WHOLE, F.col(f"own_{k}")).otherwise(below)
 
-    both = F.least(without_own("a", "b"), without_own("b", "a"))
-    return met.where(100 * both >= s.percent * (F.col("n_a") + F.col("n_b") - both)).select("a", "b")
-
-
-def _likely(pairs: DataFrame, histograms: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) that their histograms allow to be linked; no link is lost.
-
-    A bin stops counting at 32,767, so where one is full the pair passes.
-    """
-    met = pairs.join(histograms.select(F.col("set_id").alias("a"), F.col("histogram").alias("x"), F.col("n_shingles").alias("n")), "a")
-    met = met.join(histograms.select(F.col("set_id").alias("b"), F.col("histogram").alias("y"), F.col("n_shingles").alias("m")), "b")
-    full = (F.array_max("x") == 32767) | (F.array_max("y") == 32767)
-    both = _most_common(F.col("x"), F.col("y"))
-    return met.where(full | (100 * both >= s.percent * (F.col("n") + F.col("m") - both))).select("a", "b")
+    met = met.where(linked_with(F.least(without_own("a", "b"), without_own("b", "a"))))
+    full = (F.array_max("histogram_a") == 32767) | (F.array_max("histogram_b") == 32767)
+    met = met.where(full | linked_with(_most_common(F.col("histogram_a"), F.col("histogram_b"))))
+    return met.select("a", "first_a", "b", "first_b")
 
 
-def _links(postings: DataFrame, facts: DataFrame, histograms: DataFrame, whole_sets, s: Settings) -> DataFrame | None:
+def _links(postings: DataFrame, facts: DataFrame, whole_sets, s: Settings) -> DataFrame | None:
     """(node, root) of the sets that are linked with others.
 
     All members of a posting list would make pairs by the square of its length. Instead a few
     leaders of each list are compared with its other members; who is linked with them, in
     however many steps, is joined to their component, and only members of different components
-    still have to be compared. Leaders are then done with and leave the list. Their number
-    grows eightfold each round, so the rounds are few; a list ends when one component is left.
-    The first leaders are members with the fewest tokens of their own: of a group of edited
-    copies that is the text they were made from, which is linked with most of them.
+    still have to be compared. Leaders are then done with and leave the list. The first leader
+    is the member with the fewest tokens of its own: of a group of edited copies that is the
+    text they were made from, which is linked with most of them. Each round then allows 64 times
+    as many: lists of no more members have all of them as leaders and end with the round, longer
+    ones a random share. So the rounds are few, whatever the lists' lengths, and a round makes
+    no more than its leaders for each row. A list also ends when one component is left.
 
     ``own`` counts tokens of a set that no other set has indexed, or in a list of frequent tokens
     its rare ones: pairs that share one of those are met elsewhere. Among sets that have indexed
@@ -276,44 +273,47 @@ def _links(postings: DataFrame, facts: DataFrame, histograms: DataFrame, whole_s
     """
     # From 100 * both >= percent * (n + m - both) and both <= n - own.
     largest = F.floor((100 + s.percent) * (F.col("n") - F.col("own")) / s.percent - F.col("n") + 1e-6)
+    both = F.least(F.col("n") - F.when(F.col("lead_whole"), F.col("own")).otherwise(0), F.col("m") - F.when(F.col("whole"), F.col("lead_own")).otherwise(0))
+    fits = (100 * both >= s.percent * (F.col("n") + F.col("m") - both)) & (F.col("root") != F.col("lead_root"))
     joined, tested, turn = None, None, 0
     while True:
-        slot = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(8**turn))
-        leaders = postings.groupBy("sig", slot.alias("_slot")).agg(F.min(F.struct("odd", "set_id", "n", "own", "whole", "root")).alias("_l"))
-        leaders = leaders.select("sig", *[F.col(f"_l.{a}").alias(b) for a, b in (("set_id", "lead"), ("n", "m"), ("own", "lead_own"), ("whole", "lead_whole"), ("root", "lead_root"))])
-        leaders = stored(leaders, f"op3-leaders-{turn}")
-        both = F.least(F.col("n") - F.when(F.col("lead_whole"), F.col("own")).otherwise(0), F.col("m") - F.when(F.col("whole"), F.col("lead_own")).otherwise(0))
-        fits = (100 * both >= s.percent * (F.col("n") + F.col("m") - both)) & (F.col("root") != F.col("lead_root"))
-        pairs = postings.join(leaders, "sig").where(fits).select(F.least("set_id", "lead").alias("a"), F.greatest("set_id", "lead").alias("b")).distinct()
+        leaders = postings.where("leads").select("sig", *[F.col(a).alias(b) for a, b in (("set_id", "lead"), ("n", "m"), ("own", "lead_own"), ("whole", "lead_whole"), ("root", "lead_root"))])
+        # Of two leaders one compares.
+        pairs = postings.join(leaders, "sig").where(fits & (~F.col("leads") | (F.col("set_id") < F.col("lead"))))
+        pairs = pairs.select(F.least("set_id", "lead").alias("a"), F.greatest("set_id", "lead").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, f"op3-pairs-{turn}")
-        found = None if pairs.isEmpty() else _linked(pairs, facts, histograms, whole_sets, turn, s)
+        found = None if pairs.isEmpty() else _linked(pairs, facts, whole_sets, turn, s)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if found is not None:
             # Components so far are stars; with the new links they are few steps from new stars.
             edges = found if joined is None else found.union(joined.select("node", "root"))
             joined = connected_components(edges, f"op3-components-{turn}")
-        rest = postings.join(leaders.select("sig", F.col("lead").alias("set_id")), ["sig", "set_id"], "left_anti").drop("root")
+        rest = postings.where("not leads")
+        if rest.isEmpty():
+            return joined
         if joined is not None:
-            rest = rest.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        else:
-            rest = rest.withColumn("root", F.col("set_id"))
+            rest = rest.drop("root").join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         rest = rest.withColumn("_largest", largest)
-        open_lists = rest.groupBy("sig").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.min("n").alias("_low"), F.max("_largest").alias("_high"), F.min("whole").alias("_all"))
+        open_lists = rest.groupBy("sig").agg(F.min("root").alias("_a"), F.max("root").alias("_b"), F.min("n").alias("_low"), F.max("_largest").alias("_high"), F.min("whole").alias("_all"), F.count("*").alias("_members"))
         turn += 1
-        rest = rest.join(open_lists.where("_a <> _b"), "sig").where("not _all or (_largest >= _low and n <= _high)").drop("_a", "_b", "_low", "_high", "_all", "_largest")
+        rest = rest.join(open_lists.where("_a <> _b"), "sig").where("not _all or (_largest >= _low and n <= _high)")
+        leads = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.col("_members")) < 64**turn
+        rest = rest.select("sig", "set_id", "n", "own", "whole", "root", leads.alias("leads"))
         postings = stored(rest, f"op3-postings-{turn}")
+        for label in ("postings", "likely", "first", "sets"):
+            drop_stored(f"op3-{label}-{turn - 1}", postings.sparkSession)
         if postings.isEmpty():
             return joined
 
 
-def _linked(pairs: DataFrame, facts: DataFrame, histograms: DataFrame, whole_sets, turn: int, s: Settings) -> DataFrame | None:
+def _linked(pairs: DataFrame, facts: DataFrame, whole_sets, turn: int, s: Settings) -> DataFrame | None:
     """The linked ones of some pairs, (a, b); None if there are none."""
-    likely = stored(_likely(_possible(pairs, facts, s), histograms, s), f"op3-likely-{turn}")
+    likely = stored(_likely(pairs, facts, s), f"op3-likely-{turn}")
     if likely.isEmpty():
         return None
-    sets = whole_sets(likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "set_id"), turn)
+    sets = whole_sets(likely.select("first_a").union(likely.select("first_b")).distinct(), turn)
     met = likely.join(sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("x")), "a")
     met = met.join(sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
@@ -348,10 +348,13 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), text: s
     # A set's own tokens are the single rare ones that no other set has indexed.
     single, slot = F.col("sig").bitwiseAND(1) == 1, F.shiftrightunsigned("sig", 57)
     met = shared.groupBy("set_id").agg(F.count_if(single).alias("_met"), F.array(*[F.count_if(single & (slot < k)) for k in range(1, _BINS + 1)]).alias("_below"))
-    about = index.where("sig is null").drop("sig").distinct()
+    about = index.where("sig is null").drop("sig").dropDuplicates(["set_id"])
+    # Copies in different tasks have left equal rows: any of them.
+    histograms = described.where("histogram is not null").select("set_id", "histogram").dropDuplicates(["set_id"])
+    smallest = own.groupBy("set_id").agg(F.min("doc_id").alias("first"))
     must_cover = F.col("n") - F.floor((s.percent * F.col("n") + 99) / 100) + 1
-    facts = about.join(met, "set_id").select(
-        "set_id", "n", "odd", "depth",
+    facts = about.join(met, "set_id").join(histograms, "set_id").join(smallest, "set_id").select(
+        "set_id", "n", "odd", "depth", "histogram", "first",
         (F.least(F.col("odd"), must_cover) - F.col("_met")).cast("int").alias("own"),
         F.zip_with("singles", "_below", lambda a, b: (a - b).cast("int")).alias("own_below"),
     )
@@ -364,28 +367,23 @@ def jaccard_components(docs: DataFrame, settings: Settings = Settings(), text: s
     own_here = F.when((F.col("sig").bitwiseAND(1) == 1) | ~F.col("whole"), F.col("own")).otherwise(F.col("odd")).alias("own")
     postings = postings.select("set_id", "n", "odd", own_here, "whole", "sig", F.explode(F.array(band, band + 1)).alias("_band"))
     postings = stored(postings.select(F.xxhash64("sig", "_band").alias("sig"), "set_id", "n", "odd", "own", "whole", F.col("set_id").alias("root")), "op3-banded")
-    several = postings.groupBy("sig").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b")).where("_a <> _b").select("sig")
-    postings = stored(postings.join(several, "sig"), "op3-postings-0")
-    drop_stored("op3-index", docs.sparkSession)
-
-    owner = own.groupBy("set_id").agg(F.min("doc_id").alias("_id"))
+    several = postings.groupBy("sig").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b"), F.min(F.struct("odd", "set_id")).alias("_lead")).where("_a <> _b")
+    leads = (F.col("set_id") == F.col("_lead.set_id")).alias("leads")
+    postings = stored(postings.join(several, "sig").select("sig", "set_id", "n", "own", "whole", "root", leads), "op3-postings-0")
+    for label in ("index", "shared", "banded"):
+        drop_stored(f"op3-{label}", docs.sparkSession)
 
     def whole_sets(needed: DataFrame, turn: int) -> DataFrame:
         """Tokens of the sets that have to be compared, from one document of each."""
-        first = stored(needed.join(owner, "set_id"), f"op3-first-{turn}")
-        chosen = first.select("_id").distinct()
-        texts = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["_id"])).select("doc_id", "_text")
-        # An id that several documents share brings in the sets of all; repeats do no harm,
-        # as the links found are made distinct.
-        return stored(_whole_sets(texts, s).join(needed, "set_id", "left_semi"), f"op3-sets-{turn}")
-
-    histograms = described.where("histogram is not null").select("set_id", "histogram", "n_shingles")
-    needed = postings.select("set_id").distinct()
-    # Any of the equal rows that copies in different tasks have left.
-    histograms = histograms.join(needed, "set_id", "left_semi").distinct()
-    joined = _links(postings, facts, stored(histograms, "op3-histograms"), whole_sets, s)
-
-    smallest = own.groupBy("set_id").agg(F.min("doc_id").alias("smallest"))
+        first = stored(needed.toDF("_id"), f"op3-first-{turn}")
+        texts = rows.join(first, rows["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+        # An id that several documents share brings in the sets of all; repeats and sets that
+        # nobody asked for do no harm, as the links found are made distinct.
+        return stored(_whole_sets(texts, s), f"op3-sets-{turn}")
+
+    joined = _links(postings, facts, whole_sets, s)
+
+    smallest = smallest.withColumnRenamed("first", "smallest")
     if joined is not None:
         rooted = smallest.join(joined.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
         of_root = rooted.groupBy("root").agg(F.min("smallest").alias("_least"))

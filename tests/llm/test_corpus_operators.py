@@ -181,6 +181,44 @@ def test_far_edits_of_a_text_are_not_compared_with_all_its_copies(spark, monkeyp
     assert sum(tested) < 6000
 
 
+def test_long_lists_end_after_few_rounds(spark, monkeypatch):
+    """Each round costs a dozen shuffles, however few pairs are left."""
+    rnd = random.Random(8)
+    base = _prose(rnd, 150)
+    edits = [(3 * k, f"edit{k}") for k in range(48)]
+
+    def edited(k):
+        text = list(base)
+        for at, word in rnd.sample(edits, k):
+            text[at] = word
+        return " ".join(text)
+
+    rows = [(0, " ".join(base))] + [(i, edited(rnd.choice([4, 5]))) for i in range(1, 200)]
+    labels = []
+
+    def counted(df, label):
+        labels.append(label)
+        return common.stored(df, label)
+
+    monkeypatch.setattr(jaccard_join, "stored", counted)
+    found = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA), jaccard_join.Settings(words=4, percent=85)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == _near(rows, 4, 85)
+    assert sum(label.startswith("op3-pairs") for label in labels) <= 3
+
+
+def test_a_star_is_found_in_one_round(spark, monkeypatch):
+    labels = []
+
+    def counted(df, label):
+        labels.append(label)
+        return common.stored(df, label)
+
+    monkeypatch.setattr(components, "stored", counted)
+    found = components.connected_components(spark.createDataFrame([(7, k) for k in range(8, 40)] + [(7, 8)], "a long, b long"), "star").collect()
+    assert {(r.node, r.root) for r in found} == {(k, 7) for k in range(8, 40)}
+    assert labels == ["star-1"]
+
+
 def test_connected_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(150), rnd.randrange(150)) for _ in range(110)] + [(k, k + 1) for k in range(200, 260)] + [(5, 5), (None, 3)]
