@@ -245,9 +245,10 @@ def _likely(pairs: DataFrame, facts: DataFrame, s: Settings) -> DataFrame:
         below = F.coalesce(F.get(f"own_below_{k}", F.least(depth, F.lit(_BINS)) - 1), F.lit(0))
         return F.col(f"n_{k}") - F.when(depth == _WHOLE, F.col(f"own_{k}")).otherwise(below)
 
-    met = met.where(linked_with(F.least(without_own("a", "b"), without_own("b", "a"))))
+    # In one condition, so that histograms are looked at last, and once for each pair left.
+    own_allow = linked_with(F.least(without_own("a", "b"), without_own("b", "a")))
     full = (F.array_max("histogram_a") == 32767) | (F.array_max("histogram_b") == 32767)
-    met = met.where(full | linked_with(_most_common(F.col("histogram_a"), F.col("histogram_b"))))
+    met = met.where(own_allow & (full | F.exists(F.array(_most_common(F.col("histogram_a"), F.col("histogram_b"))), linked_with)))
     return met.select("a", "first_a", "b", "first_b")
 
 
